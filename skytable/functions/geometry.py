@@ -171,10 +171,17 @@ def spherical_area(ring: Column) -> Column:
 
 def reproject(geom: Column, epsg: int, digits: int = 8) -> Column:
     """Lon/lat geometry in another system, coordinates rounded."""
-    def move(p):
-        x, y = projection.project(p["x"], p["y"], epsg)
+    def rounded(x, y):
         return point(F.round(x, digits), F.round(y, digits))
 
+    if epsg in (4326, 4258, 3857):
+        return map_points(geom, lambda p: rounded(*projection.project(p["x"], p["y"], epsg)))
+    zone, south, ellipsoid = projection.utm_parts(epsg)
+
+    def move(p):
+        angles = projection.utm_angles(p["x"], p["y"], F.lit(float(zone)), ellipsoid)
+        return let(point(*angles), lambda a: rounded(*projection.utm_plane(a["x"], a["y"], F.lit(south), ellipsoid)))
+
     return map_points(geom, move)
 
 

@@ -68,13 +68,22 @@ def utm_epsg(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column)
 
 def to_utm(lon: Column, lat: Column, zone: Column, south: Column, ellipsoid: str = "WGS84") -> tuple[Column, Column]:
     """Easting and northing in meters."""
+    return utm_plane(*utm_angles(lon, lat, zone, ellipsoid), south, ellipsoid)
+
+
+def utm_angles(lon: Column, lat: Column, zone: Column, ellipsoid: str = "WGS84") -> tuple[Column, Column]:
+    """The two spherical angles that the series starts from."""
     k = _SERIES[ellipsoid]
     phi = F.radians(lat)
     away = F.radians(lon - (zone * 6.0 - 183.0))
     sine = F.sin(phi)
     t = F.sinh(F.atanh(sine) - k.eccentric * F.atanh(k.eccentric * sine))
-    xi = F.atan2(t, F.cos(away))
-    eta = F.atanh(F.sin(away) / F.sqrt(1 + t * t))
+    return F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(1 + t * t))
+
+
+def utm_plane(xi: Column, eta: Column, south: Column, ellipsoid: str = "WGS84") -> tuple[Column, Column]:
+    """Easting and northing from the two angles."""
+    k = _SERIES[ellipsoid]
     east, north = eta, xi
     for j, alpha in enumerate(k.forward, start=1):
         east = east + alpha * F.cos(2.0 * j * xi) * F.sinh(2.0 * j * eta)
@@ -129,7 +138,7 @@ def project(lon: Column, lat: Column, epsg: int) -> tuple[Column, Column]:
         return lon, lat
     if epsg == 3857:
         return to_mercator(lon, lat)
-    zone, south, ellipsoid = _utm_parts(epsg)
+    zone, south, ellipsoid = utm_parts(epsg)
     return to_utm(lon, lat, F.lit(float(zone)), F.lit(south), ellipsoid)
 
 
@@ -139,11 +148,11 @@ def unproject(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
         return x, y
     if epsg == 3857:
         return from_mercator(x, y)
-    zone, south, ellipsoid = _utm_parts(epsg)
+    zone, south, ellipsoid = utm_parts(epsg)
     return from_utm(x, y, F.lit(float(zone)), F.lit(south), ellipsoid)
 
 
-def _utm_parts(epsg: int) -> tuple[int, bool, str]:
+def utm_parts(epsg: int) -> tuple[int, bool, str]:
     for low, high, south, ellipsoid in (
         (32601, 32660, False, "WGS84"),
         (32701, 32760, True, "WGS84"),
