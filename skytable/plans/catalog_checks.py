@@ -56,7 +56,13 @@ def src2(q):
     )
 
 
-@query("src4_read_collections")
+BANDS_SQL = ", ".join(f"('{b[0]}', {b[1]}::DOUBLE, '{b[2]}', {b[3]}::DOUBLE)" for b in cat.BANDS)
+
+
+@query(
+    "src4_read_collections",
+    f"SELECT id, asset, gsd, asset AS name, common_name, center_wavelength FROM (SELECT DISTINCT concat('scenes-', year(sensed)) AS id FROM fx_scenes) s, (VALUES {BANDS_SQL}) b(asset, gsd, common_name, center_wavelength)",
+)
 def src4(q):
     """Collection documents written from the summary and read back, one row per band."""
     path = scratch(q.spark, "collections")
@@ -75,11 +81,16 @@ def src4(q):
     return files.collection_bands(files.read_collections(q.spark, path))
 
 
-@query("src5_items_round_trip")
+@query(
+    "src5_items_round_trip",
+    f"SELECT name AS id, concat('scenes-', year(sensed)) AS collection, CASE WHEN scene_id % 9 <> 0 THEN cloud END AS cloud, min_lon AS west FROM (SELECT *, {NAME_SQL} AS name FROM fx_scenes) t WHERE scene_id % 13 <> 0",
+)
 def src5(q):
     path = scratch(q.spark, "items")
-    files.write_items(cat.build_items(described_scenes(q)), path)
-    return files.read_items(q.spark, path).select("id", "collection", F.col("properties")["eo:cloud_cover"].alias("cloud"))
+    built = cat.build_items(described_scenes(q))
+    files.write_items(built.withColumn("properties", F.from_json("properties", "map<string,string>")), path)
+    back = files.read_items(q.spark, path)
+    return back.select("id", "collection", F.col("properties")["eo:cloud_cover"].cast("double").alias("cloud"), F.col("bbox")[0].alias("west"))
 
 
 @query(

@@ -67,13 +67,16 @@ def fil7(q):
     ).select("feature_id")
 
 
-@query("fil11_json_safe")
+@query(
+    "fil11_json_safe",
+    """SELECT event_id, replace(props, ' ', '') AS nested, concat('[1,', user_id, ']') AS list, event_type AS type, CAST(value AS DOUBLE) AS value FROM events""",
+)
 def fil11(q):
     """Event documents as property maps: scalars stay, nested values become JSON text."""
     doc = F.concat(F.lit('{"nested":'), "props", F.lit(',"list":[1,'), "user_id", F.lit('],"type":"'), "event_type", F.lit('","value":'), "value", F.lit("}"))
     parsed = F.from_json(doc, "map<string,variant>")
     safe = q.table("events").select("event_id", feat.json_safe(parsed).alias("p"))
-    return safe.select("event_id", *[F.col("p")[k].alias(k) for k in ("nested", "list", "type", "value")])
+    return safe.select("event_id", *[F.col("p")[k].alias(k) for k in ("nested", "list", "type")], F.col("p")["value"].cast("double").alias("value"))
 
 
 @query(
@@ -148,16 +151,18 @@ def documents_of(q):
     return path
 
 
-@query("src3_read_features")
+@query("src3_read_features", "SELECT query_id % 100 AS query_id, count(*) AS features, count(*) FILTER (WHERE trim(p_class) = '') AS blank FROM fx_features GROUP BY 1")
 def src3(q):
     """Whole documents, one array element per feature."""
-    f = features(q)
+    f = features(q).withColumn("props", F.map_concat("props", F.create_map(F.lit("qid"), F.col("query_id").cast("string"))))
     path = scratch(q.spark, "collections")
     per = f.groupBy("query_id", F.floor(F.col("ord") / 5000).alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("ord", F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type")).alias("geometry"), F.col("props").alias("properties")).alias("f"))), lambda a, b: (a["ord"] - b["ord"]).cast("int")).alias("fs")
     )
     per.select(F.lit("FeatureCollection").alias("type"), F.col("fs.f").alias("features")).write.option("maxRecordsPerFile", 1).json(path)
-    return files.read_features(q.spark, path).groupBy("geom_type").agg(F.count(F.lit(1)).alias("features"))
+    return files.read_features(q.spark, path).groupBy(
+        F.col("props")["qid"].cast("bigint").alias("query_id")
+    ).agg(F.count(F.lit(1)).alias("features"), F.count_if(non_blank(F.col("props")["class"]).isNull()).alias("blank"))
 
 
 @query(
