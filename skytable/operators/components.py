@@ -115,11 +115,11 @@ def least_labels(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = current.unionByName(current.select("raster", F.col("v").alias("u"), F.col("u").alias("v")))
         centre = both.groupBy("raster", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = salted_join(both.filter("v > u"), centre, ["raster", "u"], ["v"]).select(
+        large = salted_join(both.filter("v > u"), centre, ["raster", "u"], ["v"], left_rows=2 * seen[0]).select(
             "raster", F.col("v").alias("u"), F.col("m").alias("v")
         ).distinct()
         low = large.groupBy("raster", "u").agg(F.min("v").alias("m"))
-        joined = salted_join(large, low, ["raster", "u"], ["v"])
+        joined = salted_join(large, low, ["raster", "u"], ["v"], left_rows=2 * seen[0])
         small = joined.filter("v > m").select("raster", F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("raster", "u", F.col("m").alias("v"))
         ).distinct()
@@ -327,8 +327,7 @@ def polygonize(labelled: DataFrame, side: int) -> DataFrame:
     geometry is one row; ``ordered_paths`` has the same rings in rows.
     """
     ordered = ordered_paths(boundary_paths(labelled, side))
-    part = F.arrays_zip(F.col("xs").alias("x"), F.col("ys").alias("y"))
-    points = F.transform(part, lambda p: geo.point(p["xs"], p["ys"]))
+    points = F.zip_with("xs", "ys", geo.point)
     rings = ordered.withColumn("pts", points).groupBy("raster", "label", "ring").agg(
         F.array_sort(F.collect_list(F.struct("place", "pts"))).alias("parts")
     )

@@ -24,14 +24,19 @@ def salted_join(
     spread: Sequence[str],
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
+    left_rows: int | None = None,
 ) -> DataFrame:
     """Equi join where hot keys of ``left`` are cut into pieces of about ``hot_rows`` rows.
 
     ``spread`` are columns of ``left`` that tell the rows of one key apart; they
     choose the piece, so a retried task picks the same one. ``how`` is any join
-    that keeps or drops left rows (inner, left, left_semi, left_anti).
+    that keeps or drops left rows (inner, left, left_semi, left_anti). A caller who
+    knows the number of left rows gives it: with no more rows than a hot key needs,
+    no key can be hot and the join is plain.
     """
     on = list(on)
+    if left_rows is not None and left_rows <= hot_rows:
+        return left.join(right, on, how)
     counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     limit = counts.agg((F.sum("_rows") / MAX_HOT_KEYS).alias("_limit")).scalar()
     threshold = F.greatest(F.lit(float(hot_rows)), F.coalesce(limit, F.lit(0.0)))

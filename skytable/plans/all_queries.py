@@ -4,7 +4,7 @@ import importlib
 
 from skytable.plans.registry import ORACLES, QUERIES
 
-MODULES = ("request_checks", "geometry_checks", "catalog_checks", "search_checks", "raster_checks", "feature_checks", "detection_checks")
+MODULES = ("request_checks", "geometry_checks", "catalog_checks", "search_checks", "raster_checks", "feature_checks", "detection_checks", "instance_checks")
 
 for _name in MODULES:
     importlib.import_module(f"skytable.plans.{_name}")

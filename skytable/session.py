@@ -45,9 +45,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that lost executors cost no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a table in the shared folder, so that lost executors cost no recomputation.
+
+    A table instead of ``checkpoint()``: later steps read only the columns they
+    need, Spark knows the true size for its join choice, and no constraints of the
+    old plan pile up over the rounds of a loop.
+    """
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
