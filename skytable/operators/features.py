@@ -74,15 +74,26 @@ def clip_features(
     df: DataFrame, min_x: Column, min_y: Column, max_x: Column, max_y: Column, digits: int = 2
 ) -> DataFrame:
     """Cut features at a box; ``area_m2`` is refreshed only where it exists and the area shrank."""
-    cut = df.withColumn("_cut", geo.clip_to_box(F.col("geom"), min_x, min_y, max_x, max_y)).filter(
-        F.size("_cut") > 0
+    # Most features lie wholly inside or outside: only the rest is cut.
+    boxed = df.withColumn("_b", geo.bounds(F.col("geom")))
+    outside = (
+        (F.col("_b.max_x") <= min_x) | (F.col("_b.min_x") >= max_x)
+        | (F.col("_b.max_y") <= min_y) | (F.col("_b.min_y") >= max_y)
     )
-    shrank = geo.planar_area(F.col("_cut")) < geo.planar_area(F.col("geom")) * (1 - 1e-9)
+    inside = (
+        (F.col("_b.min_x") >= min_x) & (F.col("_b.max_x") <= max_x)
+        & (F.col("_b.min_y") >= min_y) & (F.col("_b.max_y") <= max_y)
+    )
+    near = boxed.filter(~outside)
+    part = F.when(inside, F.col("geom")).otherwise(geo.clip_to_box(F.col("geom"), min_x, min_y, max_x, max_y))
+    cut = near.withColumn("_cut", part).withColumn("_inside", inside).filter(F.size("_cut") > 0)
+    smaller = geo.planar_area(F.col("_cut")) < geo.planar_area(F.col("geom")) * (1 - 1e-9)
+    shrank = F.when(F.col("_inside"), F.lit(False)).otherwise(smaller)
     fresh = F.round(geo.geodesic_area(F.col("_cut")), digits)
     return (
         cut.withColumn("area_m2", F.when(F.col("area_m2").isNotNull() & shrank, fresh).otherwise(F.col("area_m2")))
         .withColumn("geom", F.col("_cut"))
-        .drop("_cut")
+        .drop("_cut", "_b", "_inside")
     )
 
 

@@ -31,14 +31,17 @@ def links_text(q):
     )
 
 
-@query("src1_scan_files")
+@query(
+    "src1_scan_files",
+    """SELECT tile, CAST(sum(length(concat('{"scene_id":', scene_id, ',"cloud":', cloud, '}')) + 1) AS BIGINT) AS size FROM fx_scenes GROUP BY tile""",
+)
 def src1(q):
     """Inventory of the scene files written per tile folder."""
     path = scratch(q.spark, "inventory")
     q.scenes.select("tile", F.to_json(F.struct("scene_id", "cloud")).alias("value")).repartition("tile").write.partitionBy(
         "tile"
     ).text(path)
-    return files.scan_files(q.spark, path, "*.txt").select(F.regexp_replace("tile", "^tile=", "").alias("tile"), "size").orderBy("tile")
+    return files.scan_files(q.spark, path, "*.txt").select(F.regexp_replace("tile", "^tile=", "").alias("tile"), "size").groupBy("tile").agg(F.sum("size").alias("size"))
 
 
 @query(
