@@ -236,7 +236,9 @@ def clip_to_box(geom: Column, min_x: Column, min_y: Column, max_x: Column, max_y
         F.transform(poly, lambda r, i: let(ring(r), lambda k: F.struct(i.alias("i"), k.alias("ring"), area(k).alias("area")))),
         lambda r: r["area"] > 0,
     ))
-    solid = F.filter(cut, lambda poly: F.exists(poly, lambda r: r["i"] == 0))
+    # The first ring must be left, and the holes must leave something of it.
+    rest = lambda poly: _total(F.transform(poly, lambda r: F.when(r["i"] == 0, r["area"]).otherwise(-r["area"])))
+    solid = F.filter(cut, lambda poly: F.exists(poly, lambda r: (r["i"] == 0) & (rest(poly) > 1e-12 * r["area"])))
     return F.transform(solid, lambda poly: F.transform(poly, lambda r: r["ring"]))
 
 

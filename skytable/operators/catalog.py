@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skytable.functions import geometry as geo
 from skytable.functions import rules
 from skytable.functions.text import non_blank, number, strip
-from skytable.operators.skew import first_by, prefix_scan
+from skytable.operators.skew import first_by, prefix_scan, salted_join
 
 MIN_ASSET_BYTES = 100_000
 PARTIAL_BELOW = 0.85
@@ -62,7 +62,7 @@ def attach_links(scenes: DataFrame, links: DataFrame, order: Sequence[str]) -> D
     wanted = scenes.select(*keys).distinct()
     usable = links.filter("status = 'downloaded'").join(wanted, keys, "left_semi")
     best = first_by(usable, keys, [F.col(c) for c in order])
-    return scenes.join(best, keys, "left")
+    return salted_join(scenes, best, keys, [c for c in scenes.columns if c not in keys], "left")
 
 
 def pair_granules(granules: DataFrame, rasters: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -197,7 +197,7 @@ def upper_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     running = prefix_scan(counts, keys, [value], {"_upto": ("sum", F.col("_n"))})
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.min(value).alias("least"))
-    joined = running.join(totals, keys)
+    joined = salted_join(running, totals, keys, [value])
     middle = F.floor(F.col("_total") / 2)
     return joined.filter((F.col("_upto") - F.col("_n") <= middle) & (middle < F.col("_upto"))).select(
         *keys, F.col(value).alias("median"), "least"

@@ -349,13 +349,25 @@ def polygonize(labelled: DataFrame, side: int) -> DataFrame:
 
 
 def dissolve(parts: DataFrame, keys: Sequence[str], order: str, attributes: Sequence[str]) -> DataFrame:
-    """One feature per key: first attributes, all polygons of its (disjoint) parts."""
+    """One feature per key: first attributes, all polygons of its (disjoint) parts.
+
+    The polygons of a key become one row, as one feature; ``dissolve_rows`` is for
+    keys whose parts are not bounded.
+    """
     ordered = F.array_sort(F.collect_list(F.struct(order, "geom")))
     firsts = F.min_by(F.struct(*attributes), order)
     per = parts.groupBy(*keys).agg(firsts.alias("_a"), F.flatten(F.transform(ordered, lambda p: p["geom"])).alias("geom"))
     return per.select(*keys, "_a.*", "geom")
 
 
+def dissolve_rows(parts: DataFrame, keys: Sequence[str], order: str, attributes: Sequence[str]) -> DataFrame:
+    """Like ``dissolve`` for keys with any number of parts: one row per polygon, numbered per key."""
+    firsts = parts.groupBy(*keys).agg(F.min_by(F.struct(*attributes), order).alias("_a"))
+    polygons = parts.select(*keys, order, F.posexplode("geom").alias("_i", "polygon"))
+    placed = numbered(polygons, keys, [order, "_i"], "part").drop("_i")
+    return salted_join(placed, firsts, keys, [order, "part"]).select(*keys, "_a.*", "part", "polygon")
+
+
 def instances_to_features(labelled: DataFrame, side: int, transform: Column, epsg: int, class_name: str, scores: DataFrame | None = None) -> DataFrame:
     """Label blocks to features: instance id, class, score, area in square meters, lon/lat geometry."""
     polygons = polygonize(labelled, side).withColumn("_t", transform)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skytable.functions import geometry as geo
 from skytable.functions import pixels as px
 from skytable.operators import components as comp
+from skytable.operators.skew import salted_join
 
 PROBE_PX = 1024
 MIN_BLOB_PX = 24
@@ -186,7 +187,8 @@ def footprints(blocks: DataFrame, rasters: DataFrame, side: int, epsg: int, prob
         "w", F.greatest(F.lit(1), F.floor(F.col("width") / F.col("f"))).cast("bigint")
     ).withColumn("h", F.greatest(F.lit(1), F.floor(F.col("height") / F.col("f"))).cast("bigint"))
     pixels = comp.block_pixels(blocks.select("raster", "block_row", "block_col", "mask"), "mask", side)
-    sampled = pixels.join(meta.select("raster", "f", "w", "h"), "raster").filter(
+    # One raster may hold most pixels: the join with its one row of numbers is salted.
+    sampled = salted_join(pixels, meta.select("raster", "f", "w", "h"), ["raster"], ["r", "c"]).filter(
         (F.col("r") % F.col("f") == 0) & (F.col("c") % F.col("f") == 0)
     ).select(
         "raster", F.floor(F.col("r") / F.col("f")).cast("int").alias("r"), F.floor(F.col("c") / F.col("f")).cast("int").alias("c"), "mask", "w", "h"

@@ -14,11 +14,7 @@ MERCATOR_PIXEL_M = 156543.0339280410
 
 
 def cover_tiles(files: DataFrame, zoom: int = 12) -> DataFrame:
-    """One row per file and map tile; the east and north edges are pulled in a little.
-
-    Columns of tiles are spread first, so that a file as large as the map does not
-    unfold in one task.
-    """
+    """One row per file and map tile; the east and north edges are pulled in a little."""
     x0, x1 = geo.tile_x(F.col("min_lon"), zoom), geo.tile_x(F.col("max_lon") - EDGE - TILE_EDGE, zoom)
     y0, y1 = geo.tile_y(F.col("max_lat") - EDGE, zoom), geo.tile_y(F.col("min_lat") + TILE_EDGE, zoom)
     columns = files.select("path", "pref", F.explode(F.sequence(x0, x1)).alias("tx"), y0.alias("_y0"), y1.alias("_y1"))

@@ -124,7 +124,7 @@ def pad_reflect(pixels: DataFrame, sizes: DataFrame, patch: int) -> DataFrame:
             lambda i: (i == F.col(axis)) | ((i < px.padded(length, patch)) & (px.reflect_index(i, length) == F.col(axis))),
         )
 
-    joined = pixels.join(sizes, "raster")
+    joined = salted_join(pixels, sizes, ["raster"], ["r", "c"])
     return joined.withColumn("_r", F.explode(mirrors("r", "height"))).withColumn(
         "_c", F.explode(mirrors("c", "width"))
     ).withColumn("r", F.col("_r").cast("int")).withColumn("c", F.col("_c").cast("int")).drop("_r", "_c")
@@ -219,6 +219,7 @@ def rasterize(features: DataFrame, grid: dict, keys: Sequence[str] = ("query_id"
     background = (
         features.select(*keys).distinct()
         .withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+        .repartition(*[F.col(k) for k in keys], "r")
         .withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
         .withColumn("value", F.lit(0).cast("bigint")).withColumn("ord", F.lit(-1).cast("bigint"))
     )

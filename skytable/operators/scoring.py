@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
+from skytable.operators.skew import salted_join
+
 TILE = ("raster", "y", "x", "tile_h", "tile_w")
 
 
@@ -76,7 +78,7 @@ def score_tiles(tiles: DataFrame, fn: Callable, batch: int = 1, keyword: str | N
 def score_keywords(tiles: DataFrame, requests: DataFrame, fn: Callable, batch: int = 1) -> DataFrame:
     """The model once per request and keyword over the tiles of the request's raster."""
     asked = requests.select("query_id", "raster", F.posexplode("keywords").alias("keyword_ord", "keyword"))
-    work = tiles.join(asked, "raster").withColumn("task", F.struct("query_id", "keyword_ord", "keyword"))
+    work = salted_join(tiles, asked, ["raster"], ["y", "x"]).withColumn("task", F.struct("query_id", "keyword_ord", "keyword"))
     named = work.withColumn("task", F.to_json("task"))
     scored = score_tiles(named, lambda t, task: fn(t, _keyword(task)), batch, keyword="task")
     fields = F.from_json("task", "query_id bigint, keyword_ord int, keyword string")

@@ -27,11 +27,6 @@ def labelled(q, raster=None):
     return comp.connected_components(big_raster(q, raster), SIDE)
 
 
-# Components in SQL: spread the least label until nothing changes is too slow on
-# whole tables, so labels are checked per class raster, where parts stay inside few blocks.
-PIXELS_SQL = "SELECT (block_id // 25) * 8 + r AS r, (block_id % 25) * 8 + c AS c FROM fx_pixels WHERE x > 0"
-
-
 @query("ras18_connected_components")
 def ras18(q):
     return comp.block_pixels(labelled(q), "labels", SIDE).select("raster", "r", "c", F.col("labels").alias("label"))
@@ -66,14 +61,28 @@ def geo13(q):
 
 @query(
     "agg9_dissolve",
-    """SELECT o_custkey % 100 AS instance_id, min(o_orderkey) AS feature_id, count(*) AS parts FROM orders GROUP BY 1""",
+    """SELECT o_orderkey // 10 AS instance_id, min(o_orderkey) AS feature_id, count(*) AS parts FROM orders GROUP BY 1""",
 )
 def agg9(q):
     parts = q.features.withColumn("geom", geo.box_geometry(*[F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")]))
-    merged = comp.dissolve(parts.withColumnRenamed("query_id", "instance_id"), ["instance_id"], "ord", ["feature_id"])
+    keyed = parts.withColumn("instance_id", F.floor(F.col("feature_id") / 10))
+    merged = comp.dissolve(keyed, ["instance_id"], "ord", ["feature_id"])
     return merged.select("instance_id", "feature_id", F.size("geom").cast("bigint").alias("parts"))
 
 
+@query(
+    "agg9_dissolve_rows",
+    """SELECT query_id, min(feature_id) OVER (PARTITION BY query_id) AS feature_id, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS part, ord FROM fx_features""",
+)
+def agg9_rows(q):
+    parts = q.features.withColumn("geom", geo.box_geometry(*[F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")]))
+    rows = comp.dissolve_rows(parts.withColumn("first", F.col("feature_id")), ["query_id"], "ord", ["first"])
+    origin = parts.select("query_id", "ord")
+    return rows.join(comp.numbered(origin, ["query_id"], ["ord"], "part"), ["query_id", "part"]).select(
+        "query_id", F.col("first").alias("feature_id"), "part", "ord"
+    )
+
+
 TRANSFORM = (0.5, 0.0, 400000.0, 0.0, -0.5, 5750000.0)
 
 

@@ -30,12 +30,10 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts: the cluster's setting, or a new one in local mode."""
+    """The shared folder for intermediate tables: the cluster's setting, or a new one in local mode."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if configured:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(configured)
         return configured
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skytable.functions import geometry as geo
 from skytable.functions.text import strip
+from skytable.operators.skew import salted_join
 
 # Columns of the acquisition-links file, all text.
 LINK_COLUMNS = (
@@ -100,7 +101,7 @@ def write_feature_collections(df: DataFrame, path: str, name: str = "annotations
         feature,
         F.when(F.col("ord") == F.col("_last"), F.lit("\n]}")).otherwise(F.lit(",")),
     )
-    joined = df.join(ends, "query_id")
+    joined = salted_join(df, ends, ["query_id"], ["ord"])
     (
         joined.select("query_id", "ord", line.alias("value"))
         .repartitionByRange("query_id", "ord")

@@ -57,14 +57,14 @@ DONUT = "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (2 2, 2 8, 8 8, 8 2, 2 2))"
 @pytest.mark.parametrize(
     "wkt,box,area", [
         (CONCAVE, (0, 3, 6, 5), 8.0), (CONCAVE, (-1, -1, 7, 7), 28.0), (CONCAVE, (7, 7, 8, 8), None),
-        (DONUT, (0, 0, 5, 10), 32.0), (DONUT, (3, 3, 7, 7), None), (DONUT, (-5, -5, 20, 20), 64.0),
+        (DONUT, (0, 0, 5, 10), 32.0), (DONUT, (1, 1, 9, 9), 28.0), (DONUT, (3, 3, 7, 7), None), (DONUT, (-5, -5, 20, 20), 64.0),
     ],
 )
 def test_clip(spark, wkt, box, area):
     df = spark.range(1).select(geo.parse_wkt_polygon(F.lit(wkt)).alias("geom"), F.lit(None).cast("double").alias("area_m2"))
     got = feat.clip_features(df, *[F.lit(float(v)) for v in box]).select(geo.planar_area(F.col("geom")).alias("a")).collect()
     if area is None:
-        assert sum(r["a"] for r in got) == 0
+        assert got == []
     else:
         assert got[0]["a"] == pytest.approx(area)
 
