@@ -17,6 +17,7 @@ from skytable.functions import projection
 GEOMETRY = "array<array<array<struct<x:double,y:double>>>>"
 SPHERE_RADIUS = 6371008.8
 TILE_EPSILON = 1e-14
+MERCATOR_LAT = 85.051129
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -187,10 +188,22 @@ def reproject(geom: Column, epsg: int, digits: int = 8) -> Column:
 
 def to_lonlat(geom: Column, epsg: int, digits: int = 7) -> Column:
     """Projected geometry back in lon/lat, coordinates rounded."""
-    def move(p):
-        x, y = projection.unproject(p["x"], p["y"], epsg)
+    def rounded(x, y):
         return point(F.round(x, digits), F.round(y, digits))
 
+    if epsg in (4326, 4258, 3857):
+        return map_points(geom, lambda p: rounded(*projection.unproject(p["x"], p["y"], epsg)))
+    zone, south, ellipsoid = projection.utm_parts(epsg)
+
+    def on_sphere(s):
+        lon = zone * 6.0 - 183.0 + F.degrees(F.atan2(F.sinh(s["y"]), F.cos(s["x"])))
+        chi = F.asin(F.sin(s["x"]) / F.cosh(s["y"]))
+        return let(chi, lambda c: rounded(lon, projection.geodetic_latitude(c, ellipsoid)))
+
+    def move(p):
+        start = point(*projection.utm_start(p["x"], p["y"], F.lit(south), ellipsoid))
+        return let(let(start, lambda a: point(*projection.sphere_angles(a["x"], a["y"], ellipsoid))), on_sphere)
+
     return map_points(geom, move)
 
 
@@ -250,7 +263,7 @@ def contains_point(ring: Column, x: Column, y: Column) -> Column:
         lambda n, e: n
         + F.when(
             ((e["p"]["y"] > y) != (e["q"]["y"] > y))
-            & (x < (e["q"]["x"] - e["p"]["x"]) * (y - e["p"]["y"]) / (e["q"]["y"] - e["p"]["y"]) + e["p"]["x"]),
+            & (x < F.try_divide((e["q"]["x"] - e["p"]["x"]) * (y - e["p"]["y"]), e["q"]["y"] - e["p"]["y"]) + e["p"]["x"]),
             F.lit(1),
         ).otherwise(F.lit(0)),
     )
@@ -309,7 +322,7 @@ def tile_x(lon: Column, zoom: int) -> Column:
 def tile_y(lat: Column, zoom: int) -> Column:
     """Map-tile row of a latitude, counted from the north."""
     n = float(2**zoom)
-    sine = F.sin(F.radians(lat))
+    sine = F.sin(F.radians(F.greatest(F.lit(-MERCATOR_LAT), F.least(F.lit(MERCATOR_LAT), lat))))
     y = F.floor((0.5 - 0.25 * F.log((1 + sine) / (1 - sine)) / math.pi + TILE_EPSILON) * n)
     return F.greatest(F.lit(0), F.least(F.lit(2**zoom - 1), y)).cast("bigint")
 

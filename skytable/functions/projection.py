@@ -94,20 +94,38 @@ def utm_plane(xi: Column, eta: Column, south: Column, ellipsoid: str = "WGS84")
 
 def from_utm(x: Column, y: Column, zone: Column, south: Column, ellipsoid: str = "WGS84") -> tuple[Column, Column]:
     """Longitude and latitude in degrees."""
+    xi, eta = utm_start(x, y, south, ellipsoid)
+    return sphere_lonlat(*sphere_angles(xi, eta, ellipsoid), zone, ellipsoid)
+
+
+def utm_start(x: Column, y: Column, south: Column, ellipsoid: str = "WGS84") -> tuple[Column, Column]:
+    """Scaled northing and easting that the backward series starts from."""
     k = _SERIES[ellipsoid]
     shift = F.when(south, F.lit(FALSE_NORTHING_SOUTH)).otherwise(F.lit(0.0))
-    xi0 = (y - shift) / (UTM_SCALE * k.radius)
-    eta0 = (x - FALSE_EASTING) / (UTM_SCALE * k.radius)
+    return (y - shift) / (UTM_SCALE * k.radius), (x - FALSE_EASTING) / (UTM_SCALE * k.radius)
+
+
+def sphere_angles(xi0: Column, eta0: Column, ellipsoid: str = "WGS84") -> tuple[Column, Column]:
+    """Angles on the sphere after the backward series."""
     xi, eta = xi0, eta0
-    for j, beta in enumerate(k.backward, start=1):
+    for j, beta in enumerate(_SERIES[ellipsoid].backward, start=1):
         xi = xi - beta * F.sin(2.0 * j * xi0) * F.cosh(2.0 * j * eta0)
         eta = eta - beta * F.cos(2.0 * j * xi0) * F.sinh(2.0 * j * eta0)
-    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    return xi, eta
+
+
+def sphere_lonlat(xi: Column, eta: Column, zone: Column, ellipsoid: str = "WGS84") -> tuple[Column, Column]:
+    """Longitude and latitude in degrees from the angles on the sphere."""
+    lon = zone * 6.0 - 183.0 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))
+    return lon, geodetic_latitude(F.asin(F.sin(xi) / F.cosh(eta)), ellipsoid)
+
+
+def geodetic_latitude(chi: Column, ellipsoid: str = "WGS84") -> Column:
+    """Latitude in degrees from the conformal one."""
     phi = chi
-    for j, delta in enumerate(k.latitude, start=1):
+    for j, delta in enumerate(_SERIES[ellipsoid].latitude, start=1):
         phi = phi + delta * F.sin(2.0 * j * chi)
-    lon = zone * 6.0 - 183.0 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))
-    return lon, F.degrees(phi)
+    return F.degrees(phi)
 
 
 def to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:

@@ -142,9 +142,9 @@ def connected_components(blocks: DataFrame, side: int, mask: str = "mask") -> Da
     )
     empty = F.create_map().cast("map<bigint,bigint>")
     joined = labelled.join(known, list(BLOCK), "left").withColumn("_map", F.coalesce("_map", empty))
-    return joined.withColumn(
-        "labels", F.transform("labels", lambda l: F.coalesce(F.try_element_at("_map", l), l))
-    ).drop("_map")
+    named = joined.withColumn("labels", F.transform("labels", lambda l: F.coalesce(F.try_element_at("_map", l), l)))
+    # The label blocks are read several times by what follows.
+    return materialize(named.drop("_map"))
 
 
 def min_pixels(pixel_area: Column, min_area_m2: float = 1.0) -> Column:
@@ -166,7 +166,10 @@ def _relabel(labelled: DataFrame, names: DataFrame, new: str) -> DataFrame:
     found = salted_join(present, names.select("raster", "label", new), ["raster", "label"], ["block_row", "block_col"])
     maps = found.groupBy(*BLOCK).agg(F.map_from_entries(F.collect_list(F.struct("label", new))).alias("_map"))
     joined = labelled.join(maps, list(BLOCK), "left").withColumn("_map", F.coalesce("_map", F.create_map().cast("map<bigint,bigint>")))
-    return joined.withColumn("labels", F.transform("labels", lambda l: F.coalesce(F.try_element_at("_map", l), F.lit(0).cast("bigint")))).drop("_map")
+    named = joined.withColumn(
+        "labels", F.transform("labels", lambda l: F.coalesce(F.try_element_at("_map", l), F.lit(0).cast("bigint")))
+    )
+    return materialize(named.drop("_map"))
 
 
 def drop_small(labelled: DataFrame, at_least: Column) -> DataFrame:

@@ -30,7 +30,7 @@ def feature_confidence(props: Column, fallback: bool = False) -> Column:
 def feature_area(props: Column, geom: Column) -> Column:
     """Stored area when it is a number of at least zero, else the area on the ellipsoid."""
     stored = number(F.try_element_at(props, F.lit("area_m2")))
-    return F.coalesce(F.when(stored >= 0, stored), geo.geodesic_area(geom))
+    return F.coalesce(F.when((stored >= 0) & ~F.isnan(stored), stored), geo.geodesic_area(geom))
 
 
 def filter_features(

@@ -11,6 +11,7 @@ from skytable.functions import geometry as geo
 from skytable.functions import pixels as px
 from skytable.operators import components as comp
 from skytable.operators.skew import salted_join
+from skytable.session import materialize
 
 PROBE_PX = 1024
 MIN_BLOB_PX = 24
@@ -201,13 +202,17 @@ def footprints(blocks: DataFrame, rasters: DataFrame, side: int, epsg: int, prob
     solid = comp.drop_small(labelled, F.lit(min_blob))
     polygons = comp.polygonize(solid, side)
     merged = comp.dissolve(polygons.withColumn("name", F.lit("footprint")), ["raster"], "label", ["name"])
-    shaped = merged.join(meta, "raster").withColumn("geom", simplify_bounded(F.col("geom")))
+    # Each Python step is written once: one row per raster, and no later filter runs it again.
+    shaped = materialize(merged.join(meta, "raster").withColumn("geom", simplify_bounded(F.col("geom"))))
     t = [F.element_at("transform", i) for i in range(1, 7)]
     kx, ky = F.col("width") / F.col("w"), F.col("height") / F.col("h")
     probe_tf = F.array(t[0] * kx, t[1] * ky, t[2], t[3] * kx, t[4] * ky, t[5])
     placed = shaped.withColumn("_t", probe_tf).withColumn(
         "geom", geo.map_points(F.col("geom"), lambda p: geo.pixel_to_world(p["y"], p["x"], F.col("_t")))
     )
-    rounded = placed.withColumn("geom", geo.to_lonlat(repair(F.col("geom")), epsg, 7)).withColumn("geom", repair(F.col("geom")))
+    sound = materialize(placed.select("raster", repair(F.col("geom")).alias("geom")))
+    # Rounding can pull points together, so the geometry is repaired once more.
+    lonlat = sound.filter("geom IS NOT NULL").withColumn("geom", geo.to_lonlat(F.col("geom"), epsg, 7))
+    rounded = materialize(lonlat.withColumn("geom", repair(F.col("geom"))))
     usable = rounded.filter("geom IS NOT NULL").join(fraction, "raster")
     return usable.select("raster", "geom", geo.bounds(F.col("geom")).alias("bbox"), F.round("valid_fraction", 5).alias("valid_fraction"))

@@ -35,7 +35,7 @@ def quadkey_assets(cover: DataFrame) -> DataFrame:
 def mosaic_header(files: DataFrame, min_zoom: int = 8, max_zoom: int | None = None) -> DataFrame:
     """Union bounds, centre and zoom range; ``res_m`` is the Web Mercator resolution of a file."""
     native = F.max(F.bround(F.log2(F.lit(MERCATOR_PIXEL_M) / F.col("res_m")), 0).cast("int"))
-    top = F.least(F.lit(22), native) if max_zoom is None else F.lit(max_zoom)
+    top = F.least(F.lit(22), F.greatest(F.lit(0), native)) if max_zoom is None else F.lit(max_zoom)
     bounds = files.agg(
         F.min("min_lon").alias("west"), F.min("min_lat").alias("south"), F.max("max_lon").alias("east"),
         F.max("max_lat").alias("north"), top.alias("maxzoom"),
