@@ -212,7 +212,7 @@ def footprints(blocks: DataFrame, rasters: DataFrame, side: int, epsg: int, prob
     )
     sound = materialize(placed.select("raster", repair(F.col("geom")).alias("geom")))
     # Rounding can pull points together, so the geometry is repaired once more.
-    lonlat = sound.filter("geom IS NOT NULL").withColumn("geom", geo.to_lonlat(F.col("geom"), epsg, 7))
+    lonlat = materialize(sound.filter("geom IS NOT NULL").withColumn("geom", geo.to_lonlat(F.col("geom"), epsg, 7)))
     rounded = materialize(lonlat.withColumn("geom", repair(F.col("geom"))))
     usable = rounded.filter("geom IS NOT NULL").join(fraction, "raster")
     return usable.select("raster", "geom", geo.bounds(F.col("geom")).alias("bbox"), F.round("valid_fraction", 5).alias("valid_fraction"))
