@@ -53,6 +53,29 @@ def win8(q):
     return comp.label_sizes(ranked).select("raster", "label", "n")
 
 
+def value_labels(q):
+    """Blocks labelled by value ranges, one raster per class: many parts share one label."""
+    k = F.col("block_id")
+    return q.blocks.select(
+        F.col("cls").cast("bigint").alias("raster"), F.floor(k / WIDE).cast("int").alias("block_row"), (k % WIDE).cast("int").alias("block_col"),
+        F.lit(WIDE * SIDE).cast("bigint").alias("width"),
+        F.transform("dn", lambda v: F.when(v >= 1500, F.floor(v / 20)).otherwise(0).cast("bigint")).alias("labels"),
+    )
+
+
+VALUES_SQL = "SELECT cls::BIGINT AS raster, CAST(dn // 20 AS BIGINT) AS label, count(*) AS n FROM fx_pixels WHERE dn >= 1500 GROUP BY 1, 2"
+
+
+@query("agg8_drop_small_labels", f"SELECT raster, label, n FROM ({VALUES_SQL}) v WHERE n >= 20")
+def agg8_labels(q):
+    return comp.label_sizes(comp.drop_small(value_labels(q), F.lit(20)))
+
+
+@query("win8_relabel_labels", f"SELECT raster, dense_rank() OVER (PARTITION BY raster ORDER BY label) AS label, n FROM ({VALUES_SQL}) v WHERE n >= 20")
+def win8_labels(q):
+    return comp.label_sizes(comp.relabel(comp.drop_small(value_labels(q), F.lit(20))))
+
+
 @query("geo13_polygonize")
 def geo13(q):
     shapes = comp.polygonize(comp.drop_small(labelled(q), F.lit(4)), SIDE)
