@@ -16,6 +16,19 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 
 
+# Rows and bytes that one Arrow batch may hold, so that long texts meet Python in small batches.
+BATCH_ROWS = 1_000
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the text ``null``."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % modulus
@@ -28,7 +41,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     (doc_id, text) pairs are numbered in order of id (null first) and text hash, so rows
     that repeat a document share its key and different texts under one id do not.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = plain.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if ids.filter("n > 1 OR doc_id IS NULL").isEmpty():
         return plain.select(F.col("doc_id").alias("key"), "doc_id", "text")

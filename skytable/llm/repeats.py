@@ -32,7 +32,7 @@ from skytable.session import materialize
 
 # Kinds of segments under one anchor above which its windows are settled one by one.
 HOT_KINDS = 2_000
-_PIECE = 4 << 20
+_PIECE = 1 << 20
 _ANCHORS = "key long, anchor long, seg long, start long, n int"
 
 
