@@ -40,3 +40,42 @@ def dedup_bytes(docs, length=400):
         spans = len(re.findall(b"\1+", bytes(gone)))
         out[row] = (len(d), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def shingles(text, width):
+    words = WORDS.findall(lowered(text))
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
+
+
+def near_duplicates(docs, width, percent=80):
+    """docs: (doc_id, text) with different ids -> {doc_id: (n_shingles, component_id, kept)}"""
+    sets = {i: shingles(t, width) for i, t in docs}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    where = {}
+    for i, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(i)
+    ids = sorted(sets)
+    for a in ids:
+        near = {}
+        for x in sets[a]:
+            for b in where[x]:
+                if b > a:
+                    near[b] = near.get(b, 0) + 1
+        for b, common in near.items():
+            if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
