@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skytable.fixtures import table
-from skytable.llm import minhash_dedup, substring_dedup, suffix_dedup
+from skytable.llm import language_id, minhash_dedup, substring_dedup, suffix_dedup, toxicity
+from skytable.llm.common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +38,21 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked when 80 % of their two-word shingles are common, and their components."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of a fifth of the documents are never learnt from."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = crc_mod(F.col("doc_id"), 5)
+    scored = toxicity.score(docs, toxicity.train(docs, labels, fold != 0))
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a quarter of the documents is never learnt from."""
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_mod(F.col("doc_id"), 4)
+    found = language_id.predict(docs, language_id.train(docs, fold != 2))
+    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
