@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytable.fixtures import table
-from skytable.llm import language_id, minhash_dedup, substring_dedup, suffix_dedup, toxicity
+from skytable.llm import language_id, minhash_dedup, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity
 from skytable.llm.common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = crc_mod(F.col("doc_id"), 4)
     found = language_id.predict(docs, language_id.train(docs, fold != 2))
     return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document's text, and the digest of what decoding them gives."""
+    docs = table(spark, sf_dir, "documents")
+    vocabulary = sentencepiece_codec.Vocabulary()
+    encoded = sentencepiece_codec.encode(docs, vocabulary)
+    decoded = sentencepiece_codec.decode(encoded, vocabulary)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
