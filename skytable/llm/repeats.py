@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skytable.llm import units
-from skytable.llm.common import small_side
 from skytable.session import materialize
 
 # Kinds of segments under one anchor above which its windows are settled one by one.
@@ -138,7 +137,7 @@ def segments(docs: DataFrame, wanted: DataFrame, windows: Windows) -> DataFrame:
     per_doc = materialize(
         wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "n", "copies", "start")).alias("cuts"))
     )
-    joined = docs.select("key", "text").join(small_side(per_doc, F.size("cuts") * 40), "key")
+    joined = docs.select("key", "text").join(per_doc, "key")
 
     def cut(batches):
         for batch in batches:
@@ -233,7 +232,7 @@ def per_document(ranges: DataFrame) -> DataFrame:
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Each document with its ranges; null where nothing is removed."""
-    return docs.join(small_side(spans, F.size("spans") * 16 + 24), "key", "left")
+    return docs.join(spans, "key", "left")
 
 
 def merged(spans: pa.Scalar) -> list[tuple[int, int]]:
