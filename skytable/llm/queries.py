@@ -8,7 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytable.fixtures import table
-from skytable.llm import language_id, minhash_dedup, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity
+from skytable.llm import (
+    decontamination,
+    fingerprints,
+    html_text,
+    language_id,
+    license_scan,
+    minhash_dedup,
+    sentencepiece_codec,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+)
 from skytable.llm.common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +77,27 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = sentencepiece_codec.encode(docs, vocabulary)
     decoded = sentencepiece_codec.decode(encoded, vocabulary)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they and the next document's are."""
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold test items, with the items."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))

@@ -338,7 +338,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, fold: str | None = None) ->
     words = encoded_words(rows, vocabulary, fold)
     # The dictionary holds words from a power of two of occurrences on, so that it fits.
     level = F.floor(F.log2("n")).cast("int").alias("level")
-    held, least = 0, 63
+    held, least = 0, 62
     for r in sorted(words.groupBy(level).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r["level"]):  # at most 64 levels
         held += r["c"]
         if held > DICTIONARY_WORDS:
