@@ -34,22 +34,30 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % modulus
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def text_hash(text: str = "text") -> Column:
+    """Hash by which rows of one id are told apart."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
     """(key, doc_id, text) of ``docs``: ``key`` is a non-null long that orders documents by doc_id.
 
     With unique ids the key is the id. If an id is null or repeated, the distinct
     (doc_id, text) pairs are numbered in order of id (null first) and text hash, so rows
-    that repeat a document share its key and different texts under one id do not.
+    that repeat a document share its key and different texts under one id do not. With ``whole``
+    all columns of a row follow as the struct ``row``.
     """
-    plain = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    plain = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row)
+    names = ["doc_id", "text", *(["row"] if whole else [])]
     ids = plain.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if ids.filter("n > 1 OR doc_id IS NULL").isEmpty():
-        return plain.select(F.col("doc_id").alias("key"), "doc_id", "text")
-    hashed = plain.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn(
+        return plain.select(F.col("doc_id").alias("key"), *names)
+    hashed = plain.withColumn("h", text_hash()).withColumn(
         "o", F.coalesce("doc_id", F.lit(-(2**63)))
     )
     order = materialize(numbered(hashed.select("o", "h").distinct(), [], ["o", "h"], "key"))
-    return hashed.join(order, ["o", "h"]).select("key", "doc_id", "text")
+    return hashed.join(order, ["o", "h"]).select("key", *names)
 
 
 def small_side(df: DataFrame, row_bytes: Column | int = 16) -> DataFrame:

@@ -187,6 +187,29 @@ def indexes(items: DataFrame, group: int = INDEX_ITEMS) -> list[Index]:
     ]
 
 
+def _hits(index: Index, texts: list[str | None], threshold: float, overlap: float) -> dict[tuple[int, int], tuple]:
+    """(row, item) -> (score, question, answer) of a few texts: the best passage of each."""
+    get, step, width = index.number.get, max(1, index.longest), max(1, len(index.number))
+    words = [terms(t) for t in texts]
+    spans = [(r, a) for r, w in enumerate(words) for a in range(0, max(1, len(w) - step), step)]
+    ids = [np.array([get(x, -1) for x in w], np.int64) for w in words]
+    key = [(part := ids[r][a : a + 2 * step])[part >= 0] + p * width for p, (r, a) in enumerate(spans)]
+    pairs = np.unique(np.concatenate([*key, np.zeros(0, np.int64)]))
+    passage, term = pairs // width, pairs % width
+    ends = np.searchsorted(passage, np.arange(len(spans) + 1))
+    best: dict[tuple[int, int], tuple] = {}
+    for p, block in zip(*(x.tolist() for x in index.candidate_blocks(passage, term, len(spans), threshold))):
+        r, a = spans[p]
+        for item, score in index.wand(term[ends[p] : ends[p + 1]], block, threshold):
+            shares = [_share(part, words[r][a : a + 2 * step]) for part in index.parts[item]]
+            if min(shares) >= overlap:
+                best[r, item] = max(best.get((r, item), (0.0, 0.0, 0.0)), (score, *shares))
+    return best
+
+
+_ROWS = 128  # texts whose passages are bounded together
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """Documents with test items in them: (doc_id, item_id, score, question, answer), one row for each pair.
 
@@ -204,34 +227,34 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
         def run(batches, shared=shared):
             index = shared.value
-            get, step = index.number.get, max(1, index.longest)
             for batch in batches:
                 found = []
-                for first in range(0, batch.num_rows, 128):
-                    texts = batch.column(1).slice(first, 128).to_pylist()
-                    words = [terms(t) for t in texts]
-                    spans = [(r, a) for r, w in enumerate(words) for a in range(0, max(1, len(w) - step), step)]
-                    ids = [np.array([get(x, -1) for x in w], np.int64) for w in words]
-                    count, key = len(spans), []
-                    for p, (r, a) in enumerate(spans):
-                        part = ids[r][a : a + 2 * step]
-                        key.append(part[part >= 0] + p * len(index.number))
-                    pairs = np.unique(np.concatenate(key)) if key else np.zeros(0, np.int64)
-                    passage, term = pairs // max(1, len(index.number)), pairs % max(1, len(index.number))
-                    best: dict[tuple[int, int], tuple] = {}
-                    ends = np.searchsorted(passage, np.arange(count + 1))
-                    for p, block in zip(*(x.tolist() for x in index.candidate_blocks(passage, term, count, threshold))):
-                        r, a = spans[p]
-                        for item, score in index.wand(term[ends[p] : ends[p + 1]], block, threshold):
-                            shares = [_share(part, words[r][a : a + 2 * step]) for part in index.parts[item]]
-                            if min(shares) >= overlap:
-                                best[r, item] = max(best.get((r, item), (0.0, 0.0, 0.0)), (score, *shares))
+                for first in range(0, batch.num_rows, _ROWS):
+                    best = _hits(index, batch.column(1).slice(first, _ROWS).to_pylist(), threshold, overlap)
                     found += [(batch.column(0)[first + r].as_py(), index.items[i], *v) for (r, i), v in sorted(best.items())]
                 if found:
-                    columns = list(zip(*found))
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "item_id", "score", "question", "answer"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=["doc_id", "item_id", "score", "question", "answer"])
 
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no test item."""
+    place = docs.columns.index("text")
+    out = bounded_batches(docs)
+    for index in indexes(items):
+        shared = docs.sparkSession.sparkContext.broadcast(index)  # at most INDEX_ITEMS items
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for first in range(0, batch.num_rows, _ROWS):
+                    for r, _ in _hits(shared.value, batch.column(place).slice(first, _ROWS).to_pylist(), threshold, overlap):
+                        clean[first + r] = False
+                yield batch.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

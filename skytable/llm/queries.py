@@ -48,7 +48,7 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked when 80 % of their two-word shingles are common, and their components."""
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("text_hash")
 
 
 @query

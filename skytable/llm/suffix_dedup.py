@@ -199,3 +199,37 @@ def dedup_bytes(docs: DataFrame, length: int = WINDOW_BYTES, gram: int = GRAM_BY
         clean,
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<struct<lo:long,hi:long>>",
     )
+
+
+def keep_once(docs: DataFrame, length: int = WINDOW_BYTES, gram: int = GRAM_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns and with the repeated bytes cut out of their texts.
+
+    A character that lost a byte goes whole. ``n_chars``, if it is there, is counted anew. Rows whose text is
+    repeated from end to end stay with an empty text; a null text stays null.
+    """
+    rows = keyed(docs, whole=True)
+    joined = repeats.with_spans(rows, repeated_bytes(rows, length, gram))
+    fields = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    place = docs.columns.index("text")
+
+    def cut(batches):
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column(place), batch.column(batch.num_columns - 1)):
+                ranges = repeats.merged(spans)
+                if not ranges:
+                    texts.append(text.as_py())
+                    continue
+                data, last, parts = text.as_py().encode(), 0, []
+                for lo, hi in ranges:
+                    parts.append(data[last:lo])
+                    last = hi
+                texts.append("".join(p.decode("utf-8", "ignore") for p in [*parts, data[last:]]))
+            columns = batch.columns[:-1]
+            columns[place] = pa.array(texts, columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    out = joined.select(*fields, F.col("spans").alias("spans")).mapInArrow(cut, docs.schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out

@@ -57,6 +57,9 @@ def _features(text: str | None, cache: dict) -> set[int]:
 
 def fit(features: list[np.ndarray], positive: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
     """(feature numbers, weights, bias) of one linear classifier under the non-negative risk."""
+    if positive.all() or not positive.any():
+        # One side is missing from the sample: only the prior is known.
+        return np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior)))
     sizes = np.array([len(f) for f in features])
     flat = np.concatenate([*features, np.zeros(0, np.int64)]).astype(np.int64)
     names, column, texts = np.unique(flat, return_inverse=True, return_counts=True)
@@ -79,7 +82,7 @@ def fit(features: list[np.ndarray], positive: np.ndarray, prior: float, steps: i
         f = np.bincount(row, weights=weights[column], minlength=len(sizes)) + weights[-1]
         p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
         negative = np.logaddexp(0, f)
-        rest = negative[~positive].mean() - prior * negative[positive].mean() if (~positive).any() else 0.0
+        rest = negative[~positive].mean() - prior * negative[positive].mean()
         g = np.where(positive, -prior * (1 - p) / n_pos, 0.0)
         g_rest = np.where(positive, -prior * p / n_pos, p / n_un)
         g = g + g_rest if rest >= 0 else -g_rest
@@ -135,32 +138,30 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
     return found.groupBy("member").applyInArrow(learn, "member int, feature long, weight double")
 
 
-def score(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(doc_id, score, predicted) for every row of ``docs``: doc_id and text are read, other columns are not used.
-
-    The score of a null or empty text is that of a text without words (the members' biases). Very
-    long texts are scored whole. Repeated rows get one score each, and an empty table gives no rows.
-    """
+def _scorer(model: DataFrame):
+    """A function from texts to scores that tasks can run."""
     rows = model.toArrow()
     members = sorted(set(rows.column("member").to_pylist()))
     weights: dict[int, np.ndarray] = {}
-    bias = np.zeros(len(members))
+    # Without members (nothing to learn from) nothing is toxic.
+    bias = np.zeros(len(members)) if members else np.full(1, -30.0)
     for m, f, w in zip(*(rows.column(k).to_pylist() for k in ("member", "feature", "weight"))):
         if f < 0:
             bias[members.index(m)] = w
         else:
             weights.setdefault(f, np.zeros(len(members)))[members.index(m)] = w
     names = np.array(sorted(weights), np.int64)
-    table = np.array([weights[f] for f in names]) if len(names) else np.zeros((0, len(members)))
-    shared = docs.sparkSession.sparkContext.broadcast((names, table, bias))
+    table = np.array([weights[f] for f in names]) if len(names) else np.zeros((0, len(bias)))
+    shared = model.sparkSession.sparkContext.broadcast((names, table, bias))
 
-    def run(batches):
+    def start():
         names, table, bias = shared.value
         number = {f: i for i, f in enumerate(names.tolist())}
         cache: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
-            scores = []
-            for text in batch.column(1).to_pylist():
+
+        def scores(texts) -> np.ndarray:
+            out = []
+            for text in texts:
                 found: set[int] = set()
                 for word in set(_WORD.findall((text or "").lower())):
                     known = cache.get(word)
@@ -170,8 +171,38 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
                         known = cache[word] = tuple(number[f] for f in word_features(word) if f in number)
                     found.update(known)
                 logits = bias + table[sorted(found)].sum(axis=0)
-                scores.append(float((1 / (1 + np.exp(-np.clip(logits, -30, 30)))).mean()))
-            scores = np.array(scores, float)
+                out.append(float((1 / (1 + np.exp(-np.clip(logits, -30, 30)))).mean()))
+            return np.array(out, float)
+
+        return scores
+
+    return start
+
+
+def keep_clean(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below one half."""
+    start, place = _scorer(model), docs.columns.index("text")
+
+    def run(batches):
+        scores = start()
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(place).to_pylist()) < 0.5))
+
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
+
+
+def score(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """(doc_id, score, predicted) for every row of ``docs``: doc_id and text are read, other columns are not used.
+
+    The score of a null or empty text is that of a text without words (the members' biases). Very
+    long texts are scored whole. Repeated rows get one score each, and an empty table gives no rows.
+    """
+    start = _scorer(model)
+
+    def run(batches):
+        score_of = start()
+        for batch in batches:
+            scores = score_of(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"]
             )
