@@ -229,7 +229,8 @@ def keep_once(docs: DataFrame, length: int = WINDOW_BYTES, gram: int = GRAM_BYTE
             columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    out = joined.select(*fields, F.col("spans").alias("spans")).mapInArrow(cut, docs.schema)
+    last = "_" + "_".join(docs.columns)  # a name that no column has
+    out = joined.select(*fields, F.col("spans").alias(last)).mapInArrow(cut, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
