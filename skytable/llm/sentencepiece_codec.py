@@ -32,6 +32,8 @@ SPACE = "▁"
 DICTIONARY_WORDS = 4_000_000
 # Words above this length are folded by a heap, whose work does not grow with the square of the length.
 LONG_WORD = 48
+# Characters of text for each partition of distinct words.
+PARTITION_CHARS = 2_000_000
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -150,7 +152,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    found = docs.select("text").mapInArrow(scan, "hash long, word string, n long")
+    # Words were counted within tasks; partitions are small, because edges are grouped in memory.
+    size = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    found = docs.select("text").mapInArrow(scan, "hash long, word string, n long").repartition(max(1, -(-size // PARTITION_CHARS)), "hash")
     return found.groupBy("hash").agg(F.min("word").alias("word"), F.sum("n").alias("n"))
 
 
@@ -297,7 +301,14 @@ def encoded_words(docs: DataFrame, vocabulary: Vocabulary, fold: str | None = No
             )
 
     long = words.filter(F.length("word") > LONG_WORD).select("hash", "n", "word").mapInArrow(long_fold, "hash long, n long, ids array<int>")
-    return materialize(short.select("hash", "n", ids.alias("ids")).unionByName(long))
+    conf, name = docs.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = conf.get(name)
+    try:
+        # Edges of one partition's words fit in memory by PARTITION_CHARS; else they are sorted and spilled.
+        conf.set(name, str(PARTITION_CHARS))
+        return materialize(short.select("hash", "n", ids.alias("ids")).unionByName(long))
+    finally:
+        conf.set(name, before)
 
 
 def _pack(rows: pa.Table, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -360,8 +371,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, fold: str | None = None) ->
                 data, starts, ends, firsts = _word_spans(raw, offsets)
                 hashes = units.word_hashes(data, starts, ends).view(np.int64)
                 values, inverse = np.unique(hashes, return_inverse=True)
-                lost = ~find(values, shared.value[0])[1][inverse]
+                lost = np.flatnonzero(~find(values, shared.value[0])[1][inverse])
                 row = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))[lost]
+                # Once for each text and word.
+                _, once = np.unique(row * len(values) + inverse[lost], return_index=True)
+                row, lost = row[once], lost[once]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + lo)), pa.array(hashes[lost])], names=["text_hash", "hash"])
 
     def assemble(batches):
@@ -405,8 +419,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, fold: str | None = None) ->
     if rare.isEmpty():
         return rows.select("doc_id", "text", F.lit(None).cast("array<struct<hash:long,ids:array<int>>>").alias("extra")).mapInArrow(assemble, schema)
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
-    lost = hashed.select("text_hash", "text").mapInArrow(missing, "text_hash long, hash long").distinct()
-    extra = materialize(lost.join(rare, "hash").groupBy("text_hash").agg(F.collect_list(F.struct("hash", "ids")).alias("extra")))
+    lost = hashed.select("text_hash", "text").mapInArrow(missing, "text_hash long, hash long")
+    extra = materialize(lost.join(rare, "hash").groupBy("text_hash").agg(F.collect_set(F.struct("hash", "ids")).alias("extra")))
     joined = hashed.join(small_side(extra, F.aggregate("extra", F.lit(24), lambda s, e: s + 32 + 4 * F.size(e["ids"]))), "text_hash", "left")
     return joined.select("doc_id", "text", "extra").mapInArrow(assemble, schema)
 
