@@ -131,7 +131,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         def flush():
             keys = list(held)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array([held[k][0] for k in keys]), pa.array([held[k][1] for k in keys], pa.int64())], names=["hash", "word", "n"]
+                [pa.array(keys, pa.int64()), pa.array([held[k][0] for k in keys], pa.string()), pa.array([held[k][1] for k in keys], pa.int64())], names=["hash", "word", "n"]
             )
             held.clear()
 
@@ -162,7 +162,7 @@ _KEY = 1 << 16
 
 
 def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(hash, n, length, edges) of words up to ``LONG_WORD``: edges map start and end to (score, id).
+    """(hash, n, length, edges, singles) of words up to ``LONG_WORD``: start and end are mapped to (score, id).
 
     Every single character has an edge; without a piece its id is minus one minus its code point.
     """
@@ -181,7 +181,11 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     )
     joined = spans.join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR l = 1")
     # Words are already dealt by hash, so grouping their edges again needs no shuffle.
-    return joined.groupBy("hash").agg(F.max("n").alias("n"), F.max("length").alias("length"), F.map_from_entries(F.collect_list(edge)).alias("edges"))
+    # Merges look up longer pieces only, so single characters stand apart.
+    return joined.groupBy("hash").agg(
+        F.max("n").alias("n"), F.max("length").alias("length"),
+        F.map_from_entries(F.collect_list(F.when(F.col("l") > 1, edge))).alias("edges"), F.map_from_entries(F.collect_list(F.when(F.col("l") == 1, edge))).alias("singles"),
+    )
 
 
 def _bind(value: Column, body) -> Column:
@@ -190,21 +194,31 @@ def _bind(value: Column, body) -> Column:
 
 
 def _edge(a: Column, b: Column) -> Column:
-    return F.try_element_at("edges", (a * _KEY + b).cast("int"))
+    at = (a * _KEY + b).cast("int")
+    return F.when(b - a == 1, F.try_element_at("singles", at)).otherwise(F.try_element_at("edges", at))
 
 
 def merge_fold() -> Column:
     """Pieces by merges: of neighbours that form a piece, those of the best score first, the leftmost of equals."""
 
-    def step(bounds: Column, _: Column) -> Column:
+    def step(state: Column, _: Column) -> Column:
+        bounds = state["bounds"]
+
         def rank(j: Column) -> Column:
-            return _bind(_edge(F.get(bounds, j), F.get(bounds, j + 2)), lambda e: F.when(e.isNotNull(), F.struct(e["score"].alias("score"), (-j).alias("left"))))
+            longer = F.try_element_at("edges", (F.get(bounds, j) * _KEY + F.get(bounds, j + 2)).cast("int"))
+            return _bind(longer, lambda e: F.when(e.isNotNull(), F.struct(e["score"].alias("score"), (-j).alias("left"))))
 
         best = F.array_max(F.transform(F.sequence(F.lit(0), F.size(bounds) - 3), rank))
-        merged = _bind(best, lambda p: F.when(p.isNull(), bounds).otherwise(F.filter(bounds, lambda x, i: i != 1 - p["left"])))
-        return F.when(F.size(bounds) < 3, bounds).otherwise(merged)
+        merged = _bind(
+            best,
+            lambda p: F.when(p.isNull(), F.struct(bounds.alias("bounds"), F.lit(True).alias("done"))).otherwise(
+                F.struct(F.filter(bounds, lambda x, i: i != 1 - p["left"]).alias("bounds"), F.lit(False).alias("done"))
+            ),
+        )
+        return F.when(state["done"] | (F.size(bounds) < 3), state).otherwise(merged)
 
-    bounds = F.aggregate(F.sequence(F.lit(1), F.col("length")), F.sequence(F.lit(0), F.col("length")), step)
+    first = F.struct(F.sequence(F.lit(0), F.col("length")).alias("bounds"), F.lit(False).alias("done"))
+    bounds = F.aggregate(F.sequence(F.lit(1), F.col("length")), first, step, lambda state: state["bounds"])
     ids = lambda b: F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda j: _edge(F.get(b, j), F.get(b, j + 1))["id"])
     return _bind(bounds, ids)
 
