@@ -29,7 +29,9 @@ from skytable.session import materialize
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # Words in the dictionary of each task, at most; about 16 bytes each.
-DICTIONARY_WORDS = 4_000_000
+DICTIONARY_WORDS = 2_000_000
+# Words that a task counts before it hands them on.
+_HELD_WORDS = 250_000
 # Words above this length are folded by a heap, whose work does not grow with the square of the length.
 LONG_WORD = 48
 # Characters of text for each partition of distinct words.
@@ -148,7 +150,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                         known[1] += k
                     else:
                         held[h] = [text[a:b].decode().replace(" ", SPACE), k]
-            if len(held) > 600_000:
+            if len(held) > _HELD_WORDS:
                 yield from flush()
         yield from flush()
 
