@@ -31,7 +31,7 @@ SPACE = "▁"
 # Words in the dictionary of each task, at most; about 16 bytes each.
 DICTIONARY_WORDS = 2_000_000
 # Words that a task counts before it hands them on.
-_HELD_WORDS = 250_000
+_HELD_WORDS = 150_000
 # Words above this length are folded by a heap, whose work does not grow with the square of the length.
 LONG_WORD = 48
 # Characters of text for each partition of distinct words.

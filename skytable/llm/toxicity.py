@@ -35,7 +35,7 @@ LEAST_GAP = 4.5
 BUCKETS = 1 << 22
 PREFIXES = (5, 6, 7)
 _WORD = re.compile(r"\w+")
-_CACHE = 400_000
+_CACHE = 100_000
 
 
 def word_features(word: str) -> tuple[int, ...]:
