@@ -11,7 +11,6 @@ from skytable.operators.skew import prefix_scan
 STATUSES = ("queued", "preparing", "inferencing", "postprocessing", "completed", "failed", "cancelled")
 TERMINAL = ("completed", "failed", "cancelled")
 STAGE_PROGRESS = {"preparing": 10, "inferencing": 45, "postprocessing": 85, "completed": 100}
-ERROR_TEXT_LIMIT = 2000
 
 
 def split_transitions(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,13 +31,16 @@ def state_columns() -> list[Column]:
     ]
 
 
-def apply_transitions(events: DataFrame) -> DataFrame:
-    """State per request: last status and progress, first start, last completion, cut error text."""
+def apply_transitions(events: DataFrame, error_limit: int | None = None) -> DataFrame:
+    """State per request: last status and progress, first start, last completion, error text.
+
+    The error text is whole; ``error_limit`` cuts it for a store with a column of that width.
+    """
     good, _ = split_transitions(events)
     columns = state_columns()
     if "error_message" in events.columns:
-        cut = F.nullif(F.substring("error_message", 1, ERROR_TEXT_LIMIT), F.lit(""))
-        columns.append(F.max_by(cut, F.struct("ts", "event_id")).alias("error_message"))
+        text = F.col("error_message") if error_limit is None else F.substring("error_message", 1, error_limit)
+        columns.append(F.max_by(F.nullif(text, F.lit("")), F.struct("ts", "event_id")).alias("error_message"))
     return good.groupBy("query_id").agg(*columns)
 
 

@@ -86,6 +86,9 @@ def split_touching(pixels: DataFrame, min_distance: int = 7) -> DataFrame:
         doubled = salted_join(links.filter("_n != next").withColumnsRenamed({"next": "id", "_n": "next"}), links, ["raster", "next"], ["id"])
         roots = links.filter("_n = next")
         links = materialize(doubled.select("raster", F.col("id").alias("next"), "_n").unionByName(roots))
+    if not done:
+        # A mask without pixels has no parts.
+        return open_.select("raster", "r", "c", F.col("id").alias("label"))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

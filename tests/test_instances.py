@@ -196,3 +196,8 @@ def test_repair_keeps_holes_with_their_ring():
     fixed = foot.repair_polygons([[outer, hole]])
     assert len(fixed) == 1 and len(fixed[0]) == 2
     assert foot.repair_polygons([[[[0, 0], [2, 2], [2, 0], [0, 1], [0, 0]]]]) is None
+
+
+def test_split_of_an_empty_mask(spark):
+    schema = "raster long, r int, c int, id long, on boolean, label long"
+    assert splitting.split_touching(spark.createDataFrame([], schema)).count() == 0

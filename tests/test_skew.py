@@ -59,3 +59,12 @@ def test_first_by_takes_whole_rows(spark):
     got = skew.first_by(df, ["k"], [F.col("o")]).toPandas().sort_values("k")
     want = frame.sort_values("o").groupby("k").head(1).sort_values("k")
     assert got["o"].tolist() == want["o"].tolist()
+
+
+def test_error_text_is_whole_unless_a_limit_is_given(spark):
+    from skytable.operators.lifecycle import apply_transitions
+
+    rows = [(1, 1, "failed", 10, "x" * 5000, 1)]
+    events = spark.createDataFrame(rows, "query_id long, event_id long, status string, progress int, error_message string, ts long")
+    assert len(apply_transitions(events).first().error_message) == 5000
+    assert len(apply_transitions(events, 2000).first().error_message) == 2000
