@@ -8,8 +8,8 @@ word again and folded with Spark's higher-order ``aggregate``:
 * files of the BPE kind: merges in the order of scores over the same lattice, because the best path
   by summed ranks is not what such a file means (``fold`` can ask for either).
 
-Words split only where no piece can reach over (a space begins a word, a line end stands alone), so
-the pieces of a text are those of its words. The most frequent words form a dictionary of bounded
+Words split wherever two characters stand side by side in no piece (so before spaces and around line
+ends, and at most punctuation), hence the pieces of a text are those of its words. The most frequent words form a dictionary of bounded
 size that every task holds; the others come to their documents by a join.
 """
 
@@ -52,12 +52,19 @@ class Vocabulary:
         self.bytes = {int(self.pieces[i][1:-1], 16): i for i in ids if codec.is_byte(i)}
         special = {i for i in ids if codec.is_byte(i) or codec.is_control(i) or codec.is_unknown(i) or codec.is_unused(i)}
         self.rows = [(self.pieces[i], i, float(codec.get_score(i))) for i in ids if i not in special]
+        self.singles = {ord(p): i for p, i, _ in self.rows if len(p) == 1}
         self.longest = max(len(p) for p, _, _ in self.rows)
         self.unknown = codec.unk_id()
         self.unknown_score = min(s for _, _, s in self.rows) - _UNKNOWN_PENALTY
         self.special = special
         # The kind shows in one short text: only merges follow the scores, not their sum.
         self.kind = "unigram" if _field(raw, (2, 3)) == 1 else "bpe"
+        # Bytes that stand side by side in some piece, where a character ends and the next begins; a character is never cut.
+        self.joined = np.zeros((256, 256), bool)
+        self.joined[:, 0x80:0xC0] = True
+        for piece, _, _ in self.rows:
+            raw_piece = np.frombuffer(piece.replace(SPACE, " ").encode(), np.uint8)
+            self.joined[raw_piece[:-1], raw_piece[1:]] = True
         if any(SPACE in p.lstrip(SPACE) or (len(p) > 1 and "\n" in p) or (p.startswith(SPACE * 2) and p.strip(SPACE)) for p, _, _ in self.rows):
             raise ValueError("pieces that reach over words are not supported")
 
@@ -65,11 +72,13 @@ class Vocabulary:
         return spark.createDataFrame(self.rows, "piece string, id int, score double")
 
     def expand(self, ids) -> list[int]:
-        """Negative numbers stand for characters without a piece: their bytes, or the unknown piece."""
+        """Negative numbers stand for single characters: their piece, else their bytes, or the unknown piece."""
         out = []
         for i in ids:
             if i >= 0:
                 out.append(i)
+            elif (piece := self.singles.get(-1 - i)) is not None:
+                out.append(piece)
             elif self.bytes:
                 out.extend(self.bytes[b] for b in chr(-1 - i).encode())
             else:
@@ -110,22 +119,25 @@ def _field(raw: bytes, path: tuple[int, ...]) -> int:
     return found
 
 
-def _word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts with the leading space that encoding adds, cut into words: (data, starts, ends, first word of each row)."""
+def _word_spans(data: np.ndarray, offsets: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with the leading space that encoding adds, cut into words: (data, starts, ends, first word of each row).
+
+    A text is cut before each character that stands beside the one before it in no piece (``joined``, by bytes).
+    """
     filled = np.diff(offsets) > 0
     where = offsets[:-1][filled]
     data = np.insert(data, where, 0x20)
     offsets = offsets + np.concatenate([[0], np.cumsum(filled)])
-    space, line = data == 0x20, data == 0x0A
     start = np.zeros(len(data), bool)
-    start[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+    start[1:] = ~joined[data[:-1], data[1:]]
     start[offsets[:-1][filled]] = True
     starts = np.flatnonzero(start)
     return data, starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(hash, word, n) of all distinct words; in ``word`` the space mark stands for spaces."""
+    joined = vocabulary.joined
 
     def scan(batches):
         held: dict[int, list] = {}
@@ -141,7 +153,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for _, _, raw, offsets in units.text_chunks(batch.column(0)):
                 if not len(raw):
                     continue
-                data, starts, ends, _ = _word_spans(raw, offsets)
+                data, starts, ends, _ = _word_spans(raw, offsets, joined)
                 hashes = units.word_hashes(data, starts, ends).view(np.int64)
                 values, first, n = np.unique(hashes, return_index=True, return_counts=True)
                 text = data.tobytes()
@@ -161,33 +173,49 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 _KEY = 1 << 16
+# An edge of the merging kind is one number that sorts as merges are chosen: (rank of the score, start, end, id).
+_RANK_BITS, _PLACE_BITS, _ID_BITS = 20, 6, 24
+
+
+def _spans(words: DataFrame, shortest: int, longest: int) -> DataFrame:
+    """Words exploded to their substrings of ``shortest`` to ``longest`` characters, from ``s`` on and ``l`` long; ``l = 0`` once a word."""
+    starts = F.explode(F.sequence(F.lit(1), F.col("length")))
+    lengths = F.when(
+        F.col("length") - F.col("s") + 1 >= shortest, F.sequence(F.lit(shortest), F.least(F.lit(longest), F.col("length") - F.col("s") + 1))
+    )
+    lengths = F.explode(F.when(F.col("s") == 1, F.concat(F.array(F.lit(0)), F.coalesce(lengths, F.array().cast("array<int>")))).otherwise(lengths))
+    cut = words.select("hash", "n", "word", F.length("word").alias("length")).select("*", starts.alias("s")).select("*", lengths.alias("l"))
+    return cut.withColumn("piece", F.substring("word", F.col("s"), F.col("l")))
+
+
+def merge_lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(hash, n, word, edges) of words up to ``LONG_WORD``: the pieces of two characters and more, as sorted numbers."""
+    ranks = {score: rank for rank, score in enumerate(sorted({s for _, _, s in vocabulary.rows}, reverse=True))}
+    if len(ranks) > 1 << _RANK_BITS or len(vocabulary.pieces) > 1 << _ID_BITS:
+        raise ValueError("the piece table is too large for the numbers of edges")
+    rows = [(p, (ranks[s] << 2 * _PLACE_BITS + _ID_BITS) + i) for p, i, s in vocabulary.rows if len(p) > 1]
+    pieces = words.sparkSession.createDataFrame(rows, "piece string, code long")  # bounded by the vocabulary file
+    place = F.col("s") - 1
+    code = F.col("code") + F.shiftleft((place * (1 << _PLACE_BITS) + place + F.col("l")).cast("long"), _ID_BITS)
+    joined = _spans(words, 2, vocabulary.longest).join(F.broadcast(pieces), "piece", "left").filter("code IS NOT NULL OR l = 0")
+    # Words are already dealt by hash, so grouping their edges again needs no shuffle.
+    return joined.groupBy("hash", "n", "word").agg(F.sort_array(F.collect_list(code)).alias("edges"))
 
 
-def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(hash, n, length, edges, singles) of words up to ``LONG_WORD``: start and end are mapped to (score, id).
+def viterbi_lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(hash, n, length, edges) of words up to ``LONG_WORD``: start and end are mapped to (score, id).
 
     Every single character has an edge; without a piece its id is minus one minus its code point.
     """
     pieces = vocabulary.frame(words.sparkSession)  # bounded by the vocabulary file
-    length = F.length("word")
-    spans = (
-        words.select("hash", "n", "word", length.alias("length"), F.explode(F.sequence(F.lit(1), length)).alias("s"))
-        .select("hash", "n", "word", "length", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("length") - F.col("s") + 1))).alias("l"))
-        .select("hash", "n", "length", "s", "l", F.substring("word", F.col("s"), F.col("l")).alias("piece"))
-    )
     edge = F.struct(
         ((F.col("s") - 1) * _KEY + F.col("s") + F.col("l") - 1).cast("int").alias("at"),
         F.struct(
             F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"), F.coalesce("id", -1 - F.ascii("piece")).alias("id")
         ).alias("edge"),
     )
-    joined = spans.join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR l = 1")
-    # Words are already dealt by hash, so grouping their edges again needs no shuffle.
-    # Merges look up longer pieces only, so single characters stand apart.
-    return joined.groupBy("hash").agg(
-        F.max("n").alias("n"), F.max("length").alias("length"),
-        F.map_from_entries(F.collect_list(F.when(F.col("l") > 1, edge))).alias("edges"), F.map_from_entries(F.collect_list(F.when(F.col("l") == 1, edge))).alias("singles"),
-    )
+    joined = _spans(words, 1, vocabulary.longest).filter("l > 0").join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR l = 1")
+    return joined.groupBy("hash", "n", "length").agg(F.map_from_entries(F.collect_list(edge)).alias("edges"))
 
 
 def _bind(value: Column, body) -> Column:
@@ -196,33 +224,53 @@ def _bind(value: Column, body) -> Column:
 
 
 def _edge(a: Column, b: Column) -> Column:
-    at = (a * _KEY + b).cast("int")
-    return F.when(b - a == 1, F.try_element_at("singles", at)).otherwise(F.try_element_at("edges", at))
+    return F.try_element_at("edges", (a * _KEY + b).cast("int"))
 
 
 def merge_fold() -> Column:
-    """Pieces by merges: of neighbours that form a piece, those of the best score first, the leftmost of equals."""
+    """Pieces by merges: of neighbours that form a piece, those of the best score first, the leftmost of equals.
 
-    def step(state: Column, _: Column) -> Column:
-        bounds = state["bounds"]
+    The borders between pieces are the bits of one number. An edge can be merged if its ends are borders
+    and one border lies between them; the first such edge in sorted order is the next merge. Characters
+    that are left alone give minus one minus their code point.
+    """
+    one = F.lit(1).cast("long")
+    places = (1 << _PLACE_BITS) - 1
+    start = lambda e: F.shiftright(e, _PLACE_BITS + _ID_BITS).bitwiseAND(places).cast("int")
+    end = lambda e: F.shiftright(e, _ID_BITS).bitwiseAND(places).cast("int")
+    bit = lambda at: F.call_function("shiftleft", one, at)
+    # (ends, inner): the borders that an edge needs, and those between them.
+    masks = F.transform(
+        "edges", lambda e: F.struct((bit(start(e)) + bit(end(e))).alias("ends"), (bit(end(e)) - bit(start(e) + 1)).alias("inner"))
+    )
+    nothing = F.lit(0).cast("long")
 
-        def rank(j: Column) -> Column:
-            longer = F.try_element_at("edges", (F.get(bounds, j) * _KEY + F.get(bounds, j + 2)).cast("int"))
-            return _bind(longer, lambda e: F.when(e.isNotNull(), F.struct(e["score"].alias("score"), (-j).alias("left"))))
+    def step(state: Column, _: Column) -> Column:
+        # Borders only vanish, so an edge that lost an end, or has none between its ends, is out for good.
+        def after(borders: Column) -> Column:
+            held = lambda m: (borders.bitwiseAND(m["ends"]) == m["ends"]) & (borders.bitwiseAND(m["inner"]) != nothing)
+            return F.struct(borders.alias("borders"), F.filter(state["left"], held).alias("left"))
 
-        best = F.array_max(F.transform(F.sequence(F.lit(0), F.size(bounds) - 3), rank))
+        fits = lambda m: F.bit_count(state["borders"].bitwiseAND(m["inner"])) == 1
         merged = _bind(
-            best,
-            lambda p: F.when(p.isNull(), F.struct(bounds.alias("bounds"), F.lit(True).alias("done"))).otherwise(
-                F.struct(F.filter(bounds, lambda x, i: i != 1 - p["left"]).alias("bounds"), F.lit(False).alias("done"))
+            F.get(F.filter(state["left"], fits), 0)["inner"],
+            lambda inner: F.when(inner.isNull(), F.struct(state["borders"].alias("borders"), F.slice(state["left"], 1, 0).alias("left"))).otherwise(
+                _bind(state["borders"].bitwiseAND(F.bitwise_not(inner)), after)
             ),
         )
-        return F.when(state["done"] | (F.size(bounds) < 3), state).otherwise(merged)
+        return F.when(F.size(state["left"]) == 0, state).otherwise(merged)
+
+    first = F.struct((bit(F.length("word") + 1) - 1).alias("borders"), masks.alias("left"))
+    borders = F.aggregate(F.sequence(F.lit(1), F.length("word")), first, step, lambda state: state["borders"])
+
+    def ids(borders: Column) -> Column:
+        # A piece is an edge whose ends are borders with none between; other places are single characters.
+        whole = F.filter("edges", lambda e: (borders.bitwiseAND(bit(start(e)) + bit(end(e))) == bit(start(e)) + bit(end(e))) & (borders.bitwiseAND(bit(end(e)) - bit(start(e) + 1)) == 0))
+        found = F.map_from_entries(F.transform(whole, lambda e: F.struct(start(e).alias("at"), e.bitwiseAND((1 << _ID_BITS) - 1).cast("int").alias("id"))))
+        starts = F.filter(F.sequence(F.lit(0), F.length("word") - 1), lambda at: borders.bitwiseAND(bit(at)) != 0)
+        return _bind(found, lambda known: F.transform(starts, lambda at: F.coalesce(F.try_element_at(known, at), -1 - F.ascii(F.substring("word", at + 1, F.lit(1))))))
 
-    first = F.struct(F.sequence(F.lit(0), F.col("length")).alias("bounds"), F.lit(False).alias("done"))
-    bounds = F.aggregate(F.sequence(F.lit(1), F.col("length")), first, step, lambda state: state["bounds"])
-    ids = lambda b: F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda j: _edge(F.get(b, j), F.get(b, j + 1))["id"])
-    return _bind(bounds, ids)
+    return _bind(borders, ids)
 
 
 def viterbi_fold(longest: int) -> Column:
@@ -303,9 +351,9 @@ def _long_words(pieces: dict[str, tuple[float, int]], longest: int, unknown: flo
 def encoded_words(docs: DataFrame, vocabulary: Vocabulary, fold: str | None = None) -> DataFrame:
     """(hash, n, ids) of all distinct words, as a table."""
     kind = fold or vocabulary.kind
-    words = word_counts(docs)
+    words = word_counts(docs, vocabulary)
+    lattice, ids = (viterbi_lattice, viterbi_fold(vocabulary.longest)) if kind == "unigram" else (merge_lattice, merge_fold())
     short = lattice(words.filter(F.length("word") <= LONG_WORD), vocabulary)
-    ids = viterbi_fold(vocabulary.longest) if kind == "unigram" else merge_fold()
     table = {p: (s, i) for p, i, s in vocabulary.rows}
     shared = docs.sparkSession.sparkContext.broadcast((table, vocabulary.longest, vocabulary.unknown_score, kind))
 
@@ -384,7 +432,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, fold: str | None = None) ->
             for lo, _, raw, offsets in units.text_chunks(batch.column(1)):
                 if not len(raw):
                     continue
-                data, starts, ends, firsts = _word_spans(raw, offsets)
+                data, starts, ends, firsts = _word_spans(raw, offsets, vocabulary.joined)
                 hashes = units.word_hashes(data, starts, ends).view(np.int64)
                 values, inverse = np.unique(hashes, return_inverse=True)
                 lost = np.flatnonzero(~find(values, shared.value[0])[1][inverse])
@@ -403,7 +451,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, fold: str | None = None) ->
                 counts = np.zeros(hi - lo, np.int64)
                 out = np.zeros(0, np.int32)
                 if len(raw):
-                    data, starts, stops, firsts = _word_spans(raw, offsets)
+                    data, starts, stops, firsts = _word_spans(raw, offsets, vocabulary.joined)
                     hashes = units.word_hashes(data, starts, stops).view(np.int64)
                     values, inverse = np.unique(hashes, return_inverse=True)
                     at, hit = find(values, known)
