@@ -10,7 +10,7 @@ word again and folded with Spark's higher-order ``aggregate``:
 
 Words split wherever two characters stand side by side in no piece (so before spaces and around line
 ends, and at most punctuation), hence the pieces of a text are those of its words. The most frequent words form a dictionary of bounded
-size that every task holds; the others come to their documents by a join.
+size that every task holds; the others come by a join to their documents, whose texts are packed for it.
 """
 
 from __future__ import annotations
@@ -19,17 +19,18 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytable.llm import units
-from skytable.llm.common import bounded_batches, small_side
+from skytable.llm.common import BATCH_BYTES, bounded_batches
 from skytable.session import materialize
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # Words in the dictionary of each task, at most; about 16 bytes each.
-DICTIONARY_WORDS = 2_000_000
+DICTIONARY_WORDS = 1 << 18
 # Words that a task counts before it hands them on.
 _HELD_WORDS = 150_000
 # Words above this length are folded by a heap, whose work does not grow with the square of the length.
@@ -136,17 +137,15 @@ def _word_spans(data: np.ndarray, offsets: np.ndarray, joined: np.ndarray) -> tu
 
 
 def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(hash, word, n) of all distinct words; in ``word`` the space mark stands for spaces."""
+    """(raw, n) of all distinct words, as they stand in the texts; only words and counts are shuffled."""
     joined = vocabulary.joined
 
     def scan(batches):
         held: dict[int, list] = {}
 
         def flush():
-            keys = list(held)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array([held[k][0] for k in keys], pa.string()), pa.array([held[k][1] for k in keys], pa.int64())], names=["hash", "word", "n"]
-            )
+            words, n = ([v[k] for v in held.values()] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["raw", "n"])
             held.clear()
 
         for batch in batches:
@@ -161,15 +160,28 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                     if (known := held.get(h)) is not None:
                         known[1] += k
                     else:
-                        held[h] = [text[a:b].decode().replace(" ", SPACE), k]
+                        held[h] = [text[a:b].decode(), k]
             if len(held) > _HELD_WORDS:
                 yield from flush()
         yield from flush()
 
     # Words were counted within tasks; partitions are small, because edges are grouped in memory.
     size = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    found = docs.select("text").mapInArrow(scan, "hash long, word string, n long").repartition(max(1, -(-size // PARTITION_CHARS)), "hash")
-    return found.groupBy("hash").agg(F.min("word").alias("word"), F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(scan, "raw string, n long").repartition(max(1, -(-size // PARTITION_CHARS)), "raw")
+    return found.groupBy("raw").agg(F.sum("n").alias("n"))
+
+
+def _marked() -> Column:
+    """The word with the space mark for spaces, as pieces have it."""
+    return F.translate("raw", " ", SPACE)
+
+
+def _hashed(batches):
+    """(hash, n, ids) of rows (raw, n, ids)."""
+    for batch in batches:
+        for lo, hi, data, offsets in units.text_chunks(batch.column(0)):
+            hashes = units.word_hashes(data, offsets[:-1], offsets[1:])
+            yield pa.RecordBatch.from_arrays([units.signed(hashes), *[batch.column(k).slice(lo, hi - lo) for k in (1, 2)]], names=["hash", "n", "ids"])
 
 
 _KEY = 1 << 16
@@ -184,12 +196,12 @@ def _spans(words: DataFrame, shortest: int, longest: int) -> DataFrame:
         F.col("length") - F.col("s") + 1 >= shortest, F.sequence(F.lit(shortest), F.least(F.lit(longest), F.col("length") - F.col("s") + 1))
     )
     lengths = F.explode(F.when(F.col("s") == 1, F.concat(F.array(F.lit(0)), F.coalesce(lengths, F.array().cast("array<int>")))).otherwise(lengths))
-    cut = words.select("hash", "n", "word", F.length("word").alias("length")).select("*", starts.alias("s")).select("*", lengths.alias("l"))
-    return cut.withColumn("piece", F.substring("word", F.col("s"), F.col("l")))
+    cut = words.select("raw", "n", _marked().alias("word"), F.length("raw").alias("length")).select("*", starts.alias("s")).select("*", lengths.alias("l"))
+    return cut.withColumn("piece", F.substring("word", F.col("s"), F.col("l"))).drop("word")
 
 
 def merge_lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(hash, n, word, edges) of words up to ``LONG_WORD``: the pieces of two characters and more, as sorted numbers."""
+    """(raw, n, word, edges) of words up to ``LONG_WORD``: the pieces of two characters and more, as sorted numbers."""
     ranks = {score: rank for rank, score in enumerate(sorted({s for _, _, s in vocabulary.rows}, reverse=True))}
     if len(ranks) > 1 << _RANK_BITS or len(vocabulary.pieces) > 1 << _ID_BITS:
         raise ValueError("the piece table is too large for the numbers of edges")
@@ -198,12 +210,12 @@ def merge_lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     place = F.col("s") - 1
     code = F.col("code") + F.shiftleft((place * (1 << _PLACE_BITS) + place + F.col("l")).cast("long"), _ID_BITS)
     joined = _spans(words, 2, vocabulary.longest).join(F.broadcast(pieces), "piece", "left").filter("code IS NOT NULL OR l = 0")
-    # Words are already dealt by hash, so grouping their edges again needs no shuffle.
-    return joined.groupBy("hash", "n", "word").agg(F.sort_array(F.collect_list(code)).alias("edges"))
+    # Words are already dealt, so grouping their edges again needs no shuffle.
+    return joined.groupBy("raw", "n").agg(F.sort_array(F.collect_list(code)).alias("edges")).withColumn("word", _marked())
 
 
 def viterbi_lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(hash, n, length, edges) of words up to ``LONG_WORD``: start and end are mapped to (score, id).
+    """(raw, n, length, edges) of words up to ``LONG_WORD``: start and end are mapped to (score, id).
 
     Every single character has an edge; without a piece its id is minus one minus its code point.
     """
@@ -215,7 +227,7 @@ def viterbi_lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         ).alias("edge"),
     )
     joined = _spans(words, 1, vocabulary.longest).filter("l > 0").join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR l = 1")
-    return joined.groupBy("hash", "n", "length").agg(F.map_from_entries(F.collect_list(edge)).alias("edges"))
+    return joined.groupBy("raw", "n", "length").agg(F.map_from_entries(F.collect_list(edge)).alias("edges"))
 
 
 def _bind(value: Column, body) -> Column:
@@ -353,7 +365,7 @@ def encoded_words(docs: DataFrame, vocabulary: Vocabulary, fold: str | None = No
     kind = fold or vocabulary.kind
     words = word_counts(docs, vocabulary)
     lattice, ids = (viterbi_lattice, viterbi_fold(vocabulary.longest)) if kind == "unigram" else (merge_lattice, merge_fold())
-    short = lattice(words.filter(F.length("word") <= LONG_WORD), vocabulary)
+    short = lattice(words.filter(F.length("raw") <= LONG_WORD), vocabulary)
     table = {p: (s, i) for p, i, s in vocabulary.rows}
     shared = docs.sparkSession.sparkContext.broadcast((table, vocabulary.longest, vocabulary.unknown_score, kind))
 
@@ -361,16 +373,17 @@ def encoded_words(docs: DataFrame, vocabulary: Vocabulary, fold: str | None = No
         encode = _long_words(*shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([encode(w) for w in batch.column(2).to_pylist()], pa.list_(pa.int32()))], names=["hash", "n", "ids"]
+                [batch.column(0), batch.column(1), pa.array([encode(w) for w in batch.column(2).to_pylist()], pa.list_(pa.int32()))], names=["raw", "n", "ids"]
             )
 
-    long = words.filter(F.length("word") > LONG_WORD).select("hash", "n", "word").mapInArrow(long_fold, "hash long, n long, ids array<int>")
+    long = words.filter(F.length("raw") > LONG_WORD).select("raw", "n", _marked().alias("word")).mapInArrow(long_fold, "raw string, n long, ids array<int>")
     conf, name = docs.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = conf.get(name)
     try:
         # Edges of one partition's words fit in memory by PARTITION_CHARS; else they are sorted and spilled.
         conf.set(name, str(PARTITION_CHARS))
-        return materialize(short.select("hash", "n", ids.alias("ids")).unionByName(long))
+        folded = short.select("raw", "n", ids.alias("ids")).unionByName(long)
+        return materialize(folded.mapInArrow(_hashed, "hash long, n long, ids array<int>"))
     finally:
         conf.set(name, before)
 
@@ -442,42 +455,59 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, fold: str | None = None) ->
                 row, lost = row[once], lost[once]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + lo)), pa.array(hashes[lost])], names=["text_hash", "hash"])
 
+    def pack(batches):
+        """Texts as small as they get, for they are shuffled."""
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = pa.array([packer.compress(t.as_buffer()) for t in batch.column(2).cast(pa.large_binary())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], packed], names=["doc_id", "text_hash", "packed"])
+
+    def unpack(texts: pa.Array):
+        """The rows of a batch in runs of bounded size: (first row, texts)."""
+        if not pa.types.is_binary(texts.type):
+            yield 0, texts
+            return
+        reader, held, size, first = zstandard.ZstdDecompressor(), [], 0, 0
+        for row in range(len(texts)):
+            held.append(reader.decompress(texts[row].as_buffer()))
+            size += len(held[-1])
+            if size >= BATCH_BYTES or row == len(texts) - 1:
+                yield first, pa.array(held, pa.large_binary())
+                held, size, first = [], 0, row + 1
+
     def assemble(batches):
         known, ends, flat = shared.value
         ends = ends.astype(np.int64)
         for batch in batches:
-            extra = batch.column(2)
-            for lo, hi, raw, offsets in units.text_chunks(batch.column(1)):
-                counts = np.zeros(hi - lo, np.int64)
-                out = np.zeros(0, np.int32)
-                if len(raw):
-                    data, starts, stops, firsts = _word_spans(raw, offsets, vocabulary.joined)
-                    hashes = units.word_hashes(data, starts, stops).view(np.int64)
-                    values, inverse = np.unique(hashes, return_inverse=True)
-                    at, hit = find(values, known)
-                    rare_flat, rare_begin, rare_size = [], {}, {}
-                    total = 0
-                    for row in range(lo, hi) if not hit.all() else ():
-                        if extra[row].is_valid:
-                            for item in extra[row].as_py():
-                                if item["hash"] not in rare_begin:
-                                    ids = vocabulary.expand(item["ids"])
-                                    rare_begin[item["hash"]], rare_size[item["hash"]] = total, len(ids)
-                                    total += len(ids)
-                                    rare_flat += ids
-                    begin, size = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
-                    begin[hit], size[hit] = ends[at[hit]], ends[at[hit] + 1] - ends[at[hit]]
-                    for k in np.flatnonzero(~hit).tolist():
-                        h = int(values[k])
-                        begin[k], size[k] = len(flat) + rare_begin[h], rare_size[h]
-                    both = np.concatenate([flat, np.array(rare_flat, flat.dtype)]) if total else flat
-                    sizes = size[inverse]
-                    stop = np.cumsum(sizes)
-                    out = both[np.repeat(begin[inverse] - (stop - sizes), sizes) + np.arange(sizes.sum())].astype(np.int32)
-                    per_word = np.concatenate([[0], stop])
-                    counts = np.diff(per_word[firsts])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(out))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=["doc_id", "ids"])
+            for first, texts in unpack(batch.column(1)):
+                for lo, hi, raw, offsets in units.text_chunks(texts):
+                    counts = np.zeros(hi - lo, np.int64)
+                    out = np.zeros(0, np.int32)
+                    if len(raw):
+                        data, starts, stops, firsts = _word_spans(raw, offsets, vocabulary.joined)
+                        hashes = units.word_hashes(data, starts, stops).view(np.int64)
+                        values, inverse = np.unique(hashes, return_inverse=True)
+                        at, hit = find(values, known)
+                        begin, size = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
+                        begin[hit], size[hit] = ends[at[hit]], ends[at[hit] + 1] - ends[at[hit]]
+                        both = flat
+                        if not hit.all():
+                            extra = batch.column(2).slice(first + lo, hi - lo).flatten()
+                            own = pa.table({"hash": extra.field("hash"), "ids": extra.field("ids")})
+                            own_known, own_ends, own_flat = _pack(own, vocabulary)
+                            own_at, found = find(values[~hit], own_known)
+                            if not found.all():
+                                raise ValueError("a word of a text is not among the encoded words")
+                            own_ends = own_ends.astype(np.int64)
+                            begin[~hit], size[~hit] = len(flat) + own_ends[own_at], own_ends[own_at + 1] - own_ends[own_at]
+                            both = np.concatenate([flat, own_flat])
+                        sizes = size[inverse]
+                        stop = np.cumsum(sizes)
+                        out = both[np.repeat(begin[inverse] - (stop - sizes), sizes) + np.arange(sizes.sum())].astype(np.int32)
+                        per_word = np.concatenate([[0], stop])
+                        counts = np.diff(per_word[firsts])
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(out))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first + lo, hi - lo), lists], names=["doc_id", "ids"])
 
     schema = "doc_id long, ids array<int>"
     if rare.isEmpty():
@@ -485,8 +515,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, fold: str | None = None) ->
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
     lost = hashed.select("text_hash", "text").mapInArrow(missing, "text_hash long, hash long")
     extra = materialize(lost.join(rare, "hash").groupBy("text_hash").agg(F.collect_set(F.struct("hash", "ids")).alias("extra")))
-    joined = hashed.join(small_side(extra, F.aggregate("extra", F.lit(24), lambda s, e: s + 32 + 4 * F.size(e["ids"]))), "text_hash", "left")
-    return joined.select("doc_id", "text", "extra").mapInArrow(assemble, schema)
+    packed = hashed.select("doc_id", "text_hash", "text").mapInArrow(pack, "doc_id long, text_hash long, packed binary")
+    return packed.join(extra, "text_hash", "left").select("doc_id", "packed", "extra").mapInArrow(assemble, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
