@@ -30,7 +30,7 @@ from skytable.session import materialize
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # Words in the dictionary of each task, at most; about 16 bytes each.
-DICTIONARY_WORDS = 1 << 18
+DICTIONARY_WORDS = 1 << 19
 # Words that a task counts before it hands them on.
 _HELD_WORDS = 150_000
 # Words above this length are folded by a heap, whose work does not grow with the square of the length.
@@ -180,8 +180,8 @@ def _hashed(batches):
     """(hash, n, ids) of rows (raw, n, ids)."""
     for batch in batches:
         for lo, hi, data, offsets in units.text_chunks(batch.column(0)):
-            hashes = units.word_hashes(data, offsets[:-1], offsets[1:])
-            yield pa.RecordBatch.from_arrays([units.signed(hashes), *[batch.column(k).slice(lo, hi - lo) for k in (1, 2)]], names=["hash", "n", "ids"])
+            hashes = units.signed(units.word_hashes(data, offsets[:-1], offsets[1:]))
+            yield pa.RecordBatch.from_arrays([hashes, *[batch.column(k).slice(lo, hi - lo) for k in (1, 2)]], names=["hash", "n", "ids"])
 
 
 _KEY = 1 << 16
@@ -371,19 +371,22 @@ def encoded_words(docs: DataFrame, vocabulary: Vocabulary, fold: str | None = No
 
     def long_fold(batches):
         encode = _long_words(*shared.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([encode(w) for w in batch.column(2).to_pylist()], pa.list_(pa.int32()))], names=["raw", "n", "ids"]
-            )
+        def folded():
+            for batch in batches:
+                ids = pa.array([encode(w.replace(" ", SPACE)) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=["raw", "n", "ids"])
+
+        yield from _hashed(folded())
 
-    long = words.filter(F.length("raw") > LONG_WORD).select("raw", "n", _marked().alias("word")).mapInArrow(long_fold, "raw string, n long, ids array<int>")
+    long = words.filter(F.length("raw") > LONG_WORD).select("raw", "n").mapInArrow(long_fold, "hash long, n long, ids array<int>")
     conf, name = docs.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = conf.get(name)
     try:
         # Edges of one partition's words fit in memory by PARTITION_CHARS; else they are sorted and spilled.
         conf.set(name, str(PARTITION_CHARS))
-        folded = short.select("raw", "n", ids.alias("ids")).unionByName(long)
-        return materialize(folded.mapInArrow(_hashed, "hash long, n long, ids array<int>"))
+        # One Python worker for each task: either branch hashes its own words.
+        folded = short.select("raw", "n", ids.alias("ids")).mapInArrow(_hashed, "hash long, n long, ids array<int>")
+        return materialize(folded.unionByName(long))
     finally:
         conf.set(name, before)
 
