@@ -27,13 +27,13 @@ FROM orders""",
   l_shipdate AS start_date, l_discount AS cloud_fraction, CASE WHEN l_returnflag = 'R' THEN ' Downloaded ' ELSE 'failed' END AS status,
   l_linenumber AS tie1, l_partkey AS tie2, l_suppkey AS tie3
 FROM lineitem""",
-    "fx_boxes": """SELECT det_id, image_id, cls, score, xmin, ymin, xmin + w AS xmax, ymin + h AS ymax FROM (
+    "fx_boxes": """SELECT det_id * 1000 + rn AS det_id, image_id, cls, score, xmin, ymin, xmin + w AS xmax, ymin + h AS ymax FROM (
   SELECT l_orderkey * 8 + l_linenumber AS det_id, l_orderkey % 50 AS image_id, l_returnflag AS cls,
     CAST((l_partkey * 31 + l_suppkey * 7 + l_orderkey) % 9973 AS DOUBLE) / 9973 AS score,
     CAST((l_partkey * 37) % 2048 AS DOUBLE) AS xmin, CAST((l_suppkey * 53 + l_partkey * 11) % 2048 AS DOUBLE) AS ymin,
     16 + l_quantity AS w, 16 + l_quantity * 2 AS h,
-    row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_tax, l_quantity) AS rn
-  FROM lineitem) t WHERE rn = 1""",
+    row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_tax, l_quantity, l_returnflag) AS rn
+  FROM lineitem) t""",
     "fx_requests": """SELECT c_custkey AS query_id, CASE c_nationkey % 3 WHEN 0 THEN 'ortho' WHEN 1 THEN 'satellite' ELSE 'sentinel' END AS source_type,
   CASE c_custkey % 5 WHEN 0 THEN 'tree' WHEN 1 THEN 'zeroshot' WHEN 2 THEN 'tree_satlas' WHEN 3 THEN 'water_prithvi' ELSE 'yolo' END AS model_type,
   6 + CAST(c_custkey % 600 AS DOUBLE) / 100 AS min_lon, 47 + CAST(c_custkey % 800 AS DOUBLE) / 100 AS min_lat,
@@ -72,7 +72,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One fixture view as a DataFrame, without leaving a temporary view behind."""
     text = VIEWS[name]
-    source = re.search(r"FROM (\w+)\)? ?t?(?: WHERE rn = 1)?$", text).group(1)
+    source = re.search(r"FROM (\w+)\)? ?t?$", text).group(1)
     return spark.sql(re.sub(rf"FROM {source}\b", "FROM {source}", text), source=table(spark, sf_dir, source))
 
 

@@ -139,7 +139,7 @@ def label_values(df: DataFrame, keys: Sequence[str] = ("query_id",)) -> DataFram
     widest = values.groupBy(*keys).agg(F.max("value").alias("_n"))
     return (
         values.join(widest, list(keys))
-        .withColumn("dtype", F.when(F.col("_n") < 256, F.lit("uint8")).otherwise(F.lit("uint16")))
+        .withColumn("dtype", F.when(F.col("_n") < 256, F.lit("uint8")).when(F.col("_n") < 65536, F.lit("uint16")).otherwise(F.lit("uint32")))
         .drop("_n")
     )
 

@@ -177,22 +177,25 @@ def repair(geom: Column) -> Column:
 
 
 def footprints(blocks: DataFrame, rasters: DataFrame, side: int, epsg: int, probe: int = PROBE_PX, min_blob: int = MIN_BLOB_PX) -> DataFrame:
-    """Footprint of each raster from its validity mask.
+    """Footprint of each raster from its validity mask: one row per row of ``rasters``.
 
     ``blocks`` hold ``mask`` per block; ``rasters`` hold width, height and the
-    affine array ``transform``. Only every f-th pixel is kept before anything is
-    shuffled, so that a raster becomes a probe of about probe x probe pixels; the
-    later steps that hold one raster in a row are bounded by that.
+    affine array ``transform``. Only every f-th pixel leaves its block, so that a
+    raster becomes a probe of about probe x probe pixels; the later steps that hold
+    one raster in a row are bounded by that. A raster without a footprint has a
+    null geometry and tells why in ``reason``.
     """
     meta = rasters.withColumn("f", px.decimation(F.col("width"), F.col("height"), probe)).withColumn(
         "w", F.greatest(F.lit(1), F.floor(F.col("width") / F.col("f"))).cast("bigint")
     ).withColumn("h", F.greatest(F.lit(1), F.floor(F.col("height") / F.col("f"))).cast("bigint"))
-    pixels = comp.block_pixels(blocks.select("raster", "block_row", "block_col", "mask"), "mask", side)
-    # One raster may hold most pixels: the join with its one row of numbers is salted.
-    sampled = salted_join(pixels, meta.select("raster", "f", "w", "h"), ["raster"], ["r", "c"]).filter(
-        (F.col("r") % F.col("f") == 0) & (F.col("c") % F.col("f") == 0)
-    ).select(
-        "raster", F.floor(F.col("r") / F.col("f")).cast("int").alias("r"), F.floor(F.col("c") / F.col("f")).cast("int").alias("c"), "mask", "w", "h"
+    # One raster may hold most blocks: the join with its one row of numbers is salted.
+    sized = salted_join(blocks.select("raster", "block_row", "block_col", "mask"), meta.select("raster", "f", "w", "h"), ["raster"], ["block_row", "block_col"])
+    cell = lambda v, i: F.struct(
+        (F.col("block_row") * side + F.floor(i / side)).cast("int").alias("r"), (F.col("block_col") * side + i % side).cast("int").alias("c"), v.alias("mask")
+    )
+    probed = F.filter(F.transform("mask", cell), lambda p: (p["r"] % F.col("f") == 0) & (p["c"] % F.col("f") == 0))
+    sampled = sized.select("raster", "f", "w", "h", F.explode(probed).alias("p")).select(
+        "raster", F.floor(F.col("p.r") / F.col("f")).cast("int").alias("r"), F.floor(F.col("p.c") / F.col("f")).cast("int").alias("c"), "p.mask", "w", "h"
     ).filter("r < h AND c < w")
     fraction = sampled.groupBy("raster", "w", "h").agg(F.count_if("mask").alias("_on")).select(
         "raster", (F.col("_on") / (F.col("w") * F.col("h"))).alias("valid_fraction")
@@ -214,5 +217,15 @@ def footprints(blocks: DataFrame, rasters: DataFrame, side: int, epsg: int, prob
     # Rounding can pull points together, so the geometry is repaired once more.
     lonlat = materialize(sound.filter("geom IS NOT NULL").withColumn("geom", geo.to_lonlat(F.col("geom"), epsg, 7)))
     rounded = materialize(lonlat.withColumn("geom", repair(F.col("geom"))))
-    usable = rounded.filter("geom IS NOT NULL").join(fraction, "raster")
-    return usable.select("raster", "geom", geo.bounds(F.col("geom")).alias("bbox"), F.round("valid_fraction", 5).alias("valid_fraction"))
+    usable = rounded.filter("geom IS NOT NULL").select("raster", "geom", geo.bounds(F.col("geom")).alias("bbox"))
+    known = (
+        rasters.select("raster").join(fraction, "raster", "left").join(shaped.select("raster", F.lit(True).alias("_shaped")), "raster", "left")
+        .join(usable, "raster", "left").withColumn("valid_fraction", F.coalesce("valid_fraction", F.lit(0.0)))
+    )
+    reason = (
+        F.when(F.col("geom").isNotNull(), F.lit(None).cast("string"))
+        .when(F.col("valid_fraction") == 0, F.lit("no valid pixel"))
+        .when(F.col("_shaped").isNull(), F.lit("no part is large enough"))
+        .otherwise(F.lit("the geometry cannot be repaired"))
+    )
+    return known.select("raster", "geom", "bbox", F.round("valid_fraction", 5).alias("valid_fraction"), reason.alias("reason"))

@@ -165,4 +165,4 @@ def geo15(q):
         "transform", F.array(*[F.lit(v) for v in (10.0, 0.0, 400000.0, 0.0, -10.0, 5750000.0)])
     )
     out = foot.footprints(blocks, rasters, SIDE, 32632, probe=100)
-    return out.select("raster", "valid_fraction", F.size("geom").alias("polygons"), "bbox.min_x", "bbox.max_y")
+    return out.select("raster", "valid_fraction", F.size("geom").alias("polygons"), "bbox.min_x", "bbox.max_y", "reason")

@@ -111,13 +111,13 @@ def ras8(q):
 
 @query(
     "ras9_select_bands",
-    "SELECT block_id, c, b2 AS x1, b0 AS x2, b1 AS x3, b0 AS y1, b1 AS y2, b0 AS y3 FROM (SELECT block_id, c, max(CASE WHEN r = 0 THEN dn END) AS b0, max(CASE WHEN r = 1 THEN dn END) AS b1, max(CASE WHEN r = 2 THEN dn END) AS b2 FROM fx_pixels GROUP BY block_id, c) t",
+    "SELECT block_id, c, b2 AS x1, b0 AS x2, b1 AS x3, b7 AS x4, b6 AS x5, b5 AS x6, b4 AS x7, b3 AS x8, b0 AS y1, b1 AS y2, b0 AS y3 FROM (SELECT block_id, c, max(CASE WHEN r = 0 THEN dn END) AS b0, max(CASE WHEN r = 1 THEN dn END) AS b1, max(CASE WHEN r = 2 THEN dn END) AS b2, max(CASE WHEN r = 3 THEN dn END) AS b3, max(CASE WHEN r = 4 THEN dn END) AS b4, max(CASE WHEN r = 5 THEN dn END) AS b5, max(CASE WHEN r = 6 THEN dn END) AS b6, max(CASE WHEN r = 7 THEN dn END) AS b7 FROM fx_pixels GROUP BY block_id, c) t",
 )
 def ras9(q):
     """Block rows taken as bands."""
     bands = q.blocks.select("block_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.get(F.col("dn"), r * 8 + c)))).alias("c", "bands"))
-    picked = bands.select("block_id", "c", px.select_bands(F.col("bands"), [3, 1, 2]).alias("x"), px.display_bands(F.slice("bands", 1, 2)).alias("y"))
-    return picked.select("block_id", "c", *[F.col(n)[i].alias(f"{n}{i + 1}") for n in ("x", "y") for i in range(3)])
+    picked = bands.select("block_id", "c", px.select_bands(F.col("bands"), [3, 1, 2, 8, 7, 6, 5, 4]).alias("x"), px.display_bands(F.slice("bands", 1, 2)).alias("y"))
+    return picked.select("block_id", "c", *[F.col(n)[i].alias(f"{n}{i + 1}") for n, size in (("x", 8), ("y", 3)) for i in range(size)])
 
 
 @query(
@@ -152,10 +152,10 @@ def ras12(q):
 
 @query(
     "ras12_argmax",
-    "SELECT block_id, c, b1 > b0 AND b1 >= b2 AS on FROM (SELECT block_id, c, max(CASE WHEN r = 0 THEN x END) AS b0, max(CASE WHEN r = 1 THEN x END) AS b1, max(CASE WHEN r = 2 THEN x END) AS b2 FROM fx_pixels GROUP BY block_id, c) t".replace(" AS on ", ' AS "on" '),
+    "SELECT block_id, c, b1 > b0 AND b1 >= greatest(b2, b3, b4, b5, b6, b7) AS on FROM (SELECT block_id, c, max(CASE WHEN r = 0 THEN x END) AS b0, max(CASE WHEN r = 1 THEN x END) AS b1, max(CASE WHEN r = 2 THEN x END) AS b2, max(CASE WHEN r = 3 THEN x END) AS b3, max(CASE WHEN r = 4 THEN x END) AS b4, max(CASE WHEN r = 5 THEN x END) AS b5, max(CASE WHEN r = 6 THEN x END) AS b6, max(CASE WHEN r = 7 THEN x END) AS b7 FROM fx_pixels GROUP BY block_id, c) t".replace(" AS on ", ' AS "on" '),
 )
 def ras12_argmax(q):
-    scores = q.blocks.select("block_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.array(*[F.get(F.col("x"), c + 8 * r) for r in range(3)]))).alias("c", "s"))
+    scores = q.blocks.select("block_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.array(*[F.get(F.col("x"), c + 8 * r) for r in range(8)]))).alias("c", "s"))
     return scores.select("block_id", "c", px.argmax_is(F.col("s"), 1).alias("on"))
 
 
