@@ -1,7 +1,7 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient of word bigrams.
 
-A text is cut into lines; neighbouring lines that look like parts of a template are also taken together,
-so wrapped notices are found. With t the threshold, a unit of a bigrams and a template of b can reach it
+A text is cut into lines, and every window of neighbouring lines that can reach the threshold is a unit, so wrapped
+notices are found, with blank lines in them and beside others too. With t the threshold, a unit of a bigrams and a template of b can reach it
 only if b lies between a * t / (2 - t) and a * (2 - t) / t: templates stand in order of size, and only
 that stretch is compared. Units that share too few bigrams with all templates together are ruled out
 for whole batches before.
@@ -106,39 +106,91 @@ class _Templates:
         hashes = units.span_hashes(units.BYTE_VALUES[data], np.concatenate([[0], ends[:-1]]), ends) if flat else np.zeros(0, np.uint64)
         self.known = np.unique(hashes[0::2] * np.uint64(3) + hashes[1::2])
 
-    def best(self, text: bytes) -> tuple[str, float] | None:
-        """The nearest template at the threshold or above; of equals the first name."""
+    def best(self, text: bytes) -> tuple[str, float, float] | None:
+        """Name, coefficient and common pairs of the nearest template at the threshold or above; of equals the first name."""
         own = bigrams(text)
         size = own.total()
         lo, hi = bisect_left(self.sizes, size * self.reach - 1e-9), bisect_right(self.sizes, size / self.reach + 1e-9)
-        found = [(-dice(own, b), name) for _, name, b in self.rows[lo:hi]]
+        found = [(-dice(own, b), name, n) for n, name, b in self.rows[lo:hi]]
         found = [f for f in found if -f[0] >= self.threshold]
-        return (min(found)[1], -min(found)[0]) if found else None
+        if not found:
+            return None
+        value, name, n = min(found)
+        return name, -value, -value * (size + n) / 2
 
-    def plausible(self, data: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
-        """Lines that may reach the threshold, or be part of a notice that does."""
+    def lines(self, data: np.ndarray, starts: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each line: words, word pairs and known pairs in it, and the same with the pair that leads into it from its text."""
         inside = _INSIDE[data]
         edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
         at, to = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        if len(at) < 2:
-            return np.zeros(count, bool)
-        hashes = units.word_hashes(data, at, to, lower=True)
         line = np.searchsorted(starts, at, "right") - 1
-        same = line[1:] == line[:-1]
-        pair = (hashes[:-1] * np.uint64(3) + hashes[1:])[same]
-        spot = np.minimum(np.searchsorted(self.known, pair), max(0, len(self.known) - 1))
-        hit = self.known[spot] == pair if len(self.known) else np.zeros(len(pair), bool)
-        total = np.bincount(line[1:][same], minlength=count)
-        hits = np.bincount(line[1:][same][hit], minlength=count)
+        words = np.bincount(line, minlength=len(starts))
+        if len(at) < 2 or not len(self.known):
+            return (words, *[np.zeros(len(starts), np.int64)] * 4)
+        hashes = units.word_hashes(data, at, to, lower=True)
+        pair = hashes[:-1] * np.uint64(3) + hashes[1:]
+        hit = self.known[np.minimum(np.searchsorted(self.known, pair), len(self.known) - 1)] == pair
+        near, same = row[line[1:]] == row[line[:-1]], line[1:] == line[:-1]
+        return (words, *[np.bincount(line[1:][w], minlength=len(starts)) for w in (same, same & hit, near, near & hit)])
+
+    def enough(self, hits, total):
+        """Whether so many known pairs of all can reach the threshold. If a window has enough, so has a line of it."""
         return (hits > 0) & (hits >= self.threshold / 2 * (1 + self.reach) * total - 1e-9)
 
 
+def _notices(known: _Templates, raw: bytes, starts: np.ndarray, stops: np.ndarray, row: np.ndarray, counted: tuple[np.ndarray, ...]):
+    """(first line, lines, name, dice) of windows that do not overlap and together match the most: common pairs times dice."""
+    words, *_ = counted
+    filled = np.flatnonzero(words)
+    total, hits, led, led_hits = (c[filled] for c in counted[1:])
+    most = known.sizes[-1] / known.reach + 1e-9
+    ends = np.concatenate([[0], np.cumsum(led)])
+    seen = np.concatenate([[0], np.cumsum(led_hits)])
+    tried: dict[bytes, tuple[str, float, float] | None] = {}
+    # Windows that hold a line with enough known pairs begin so far before it.
+    seeds = np.flatnonzero(known.enough(hits, total) | known.enough(led_hits, led))
+    begins = np.zeros(len(filled) + 1, np.int64)
+    np.add.at(begins, np.searchsorted(ends[1:], ends[seeds] - most, "left"), 1)
+    np.add.at(begins, seeds + 1, -1)
+    windows = []
+    for i in np.flatnonzero(np.cumsum(begins[:-1])).tolist():
+        stop = int(np.searchsorted(ends, ends[i + 1] - total[i] + most, "right"))
+        sizes = ends[i + 1 : stop] - ends[i + 1] + total[i]
+        good = known.enough(seen[i + 1 : stop] - seen[i + 1] + hits[i], sizes) & (row[filled[i : i + len(sizes)]] == row[filled[i]])
+        for j in (i + np.flatnonzero(good)).tolist():
+            text = raw[starts[filled[i]] : stops[filled[j]]]
+            if text not in tried:
+                tried[text] = known.best(text)
+            if found := tried[text]:
+                windows.append((j, i, found[:2], found[1] * found[2]))
+    return _heaviest(windows, filled)
+
+
+def _heaviest(windows: list[tuple], filled: np.ndarray):
+    windows.sort(key=lambda w: w[:2])
+    lasts = [w[0] for w in windows]
+    best, taken = [0.0], []
+    for k, (j, i, _, weight) in enumerate(windows):
+        before = bisect_left(lasts, i, 0, k)
+        taken.append(before if best[before] + weight > best[k] else -1)
+        best.append(max(best[k], best[before] + weight))
+    out, k = [], len(windows)
+    while k:
+        if taken[k - 1] < 0:
+            k -= 1
+            continue
+        j, i, found, _ = windows[k - 1]
+        out.append((int(filled[i]), int(filled[j] - filled[i] + 1), *found))
+        k = taken[k - 1]
+    return out[::-1]
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Licence notices in every whole text: (doc_id, line, lines, license, dice), one row for each notice.
 
     ``docs`` has doc_id and text; other columns are not used. ``line`` is the first line of the notice from 0,
-    ``lines`` how many it takes. A run of lines that together are a notice is one row instead of its lines if it
-    scores no less than each of them. Null and empty texts have no notices, equal rows give equal rows, and an empty table
+    ``lines`` how many it takes, blank ones between too. Windows of lines are notices if they reach the threshold; of those that
+    overlap, the ones are kept that together match the most. A notice that is a part of a longer line is not looked for. Null and empty texts have no notices, equal rows give equal rows, and an empty table
     or an empty set of templates gives none.
     """
     known = _Templates(TEMPLATES if templates is None else templates, threshold)
@@ -158,20 +210,10 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
                 stops = np.append(starts[1:], len(data))
                 row = np.searchsorted(offsets, starts, "right") - 1
                 firsts = np.searchsorted(starts, offsets)
-                wanted = np.flatnonzero(known.plausible(data, starts, len(starts)))
-                raw = data.tobytes()
-                if not len(wanted):
-                    continue
-                cut = np.flatnonzero((np.diff(wanted) != 1) | (np.diff(row[wanted]) != 0)) + 1
-                for run_ in np.split(wanted, cut):
-                    lines = run_.tolist()
-                    single = [(i, 1, f) for i in lines if (f := known.best(raw[starts[i] : stops[i]]))]
-                    whole = known.best(raw[starts[lines[0]] : stops[lines[-1]]]) if len(lines) > 1 else None
-                    if whole and all(whole[1] >= f[1] for _, _, f in single):
-                        single = [(lines[0], len(lines), whole)]
-                    for i, n, (name, value) in single:
-                        r = int(row[i])
-                        rows.append((batch.column(0)[lo + r].as_py(), i - int(firsts[r]), n, name, value))
+                counted = known.lines(data, starts, row)
+                for i, n, name, value in _notices(known, data.tobytes(), starts, stops, row, counted):
+                    r = int(row[i])
+                    rows.append((batch.column(0)[lo + r].as_py(), i - int(firsts[r]), n, name, value))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "line", "lines", "license", "dice"])

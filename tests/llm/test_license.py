@@ -38,3 +38,16 @@ def test_edges(spark):
     assert got == [(-1, 0, "MIT"), (4, 0, "MIT"), (4, 0, "MIT")]
     assert license_scan.scan(frame(spark, [])).count() == 0
     assert license_scan.scan(frame(spark, rows), {}).count() == 0
+
+
+def test_paragraphs_and_neighbouring_notices(spark):
+    mit, apache = license_scan.TEMPLATES["MIT"][2], license_scan.TEMPLATES["Apache-2.0"][1]
+    cut = [mit.index("The above copyright"), mit.index("THE SOFTWARE IS")]
+    paragraphs = "\n\n".join([mit[: cut[0]], mit[cut[0] : cut[1]], mit[cut[1] :]])
+    words = apache.split()
+    wrapped = "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+    n = len(wrapped.split("\n"))
+    rows = [(1, paragraphs), (2, f"{wrapped}\nReleased under the MIT License.\n{mit}"), (3, f"Released under the MIT License.\n{wrapped}")]
+    got = sorted((r.doc_id, r.line, r.lines, r.license, r.dice) for r in license_scan.scan(frame(spark, rows)).collect())
+    assert [g[:4] for g in got] == [(1, 0, 5, "MIT"), (2, 0, n, "Apache-2.0"), (2, n, 1, "MIT"), (2, n + 1, 1, "MIT"), (3, 0, 1, "MIT"), (3, 1, n, "Apache-2.0")]
+    assert min(g[4] for g in got) == 1.0
