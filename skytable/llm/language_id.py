@@ -18,8 +18,6 @@ from skytable.llm import units
 from skytable.llm.common import bounded_batches
 
 ORDER = 3
-# Contexts of the trees: the most frequent ones, so many at most; rarer ones back off to shorter ones.
-MAX_CONTEXTS = 16_384
 UNKNOWN = "und"
 _MASKS = [(1 << (8 * k)) - 1 for k in range(ORDER + 2)]
 
@@ -74,81 +72,61 @@ def counts(learnt: DataFrame) -> DataFrame:
 
 
 def contexts(counted: DataFrame) -> DataFrame:
-    """(known, context, lang, symbol, n) of the context trees, at most ``MAX_CONTEXTS`` contexts for each order."""
+    """(order, context, lang, symbol, n) of the context trees, with all contexts of all languages."""
     chains = F.explode(F.sequence(F.lit(0), F.col("known"))).alias("order")
-    every = (
+    return (
         counted.select("lang", "code", "n", chains)
         .withColumn("context", F.shiftright("code", 8).bitwiseAND(F.element_at(F.array(*[F.lit(m).cast("long") for m in _MASKS]), F.col("order") + 1)))
         .groupBy("order", "context", "lang", F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("symbol"))
         .agg(F.sum("n").alias("n"))
     )
-    often = every.groupBy("order", "context").agg(F.sum("n").alias("total"))
-    kept = None
-    for order in range(ORDER + 1):
-        part = often.filter(F.col("order") == order).orderBy(F.desc("total"), "context").limit(MAX_CONTEXTS).select("order", "context")
-        kept = part if kept is None else kept.unionByName(part)
-    return every.join(F.broadcast(kept), ["order", "context"])
+
+
+def _find(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted name among sorted ones, and whether it is there."""
+    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+    return at, names[at] == wanted
 
 
 class Model:
-    """Frozen code lengths: one row of costs per context and byte, for all languages."""
+    """Frozen code lengths: the cost of every byte seen in a context, and of the escape from it, by language and order."""
 
     def __init__(self, langs: list[str], rows: dict[str, np.ndarray]):
         self.langs = langs
-        k = len(langs)
         order, context, lang, symbol, n = (rows[c] for c in ("order", "context", "lang", "symbol", "n"))
-        names, node = np.unique(order.astype(np.int64) << 32 | context, return_inverse=True)
-        if not len(names) or names[0] != 0:
-            names, node = np.concatenate([[0], names]), node + 1
-        self.names = names
-        self.costs = np.full((len(names), 256, k), 8.0, np.float32)
-        ends = np.searchsorted(names >> 32, np.arange(ORDER + 2))
-        orders = names >> 32
-        by_order = np.argsort(order, kind="stable")
-        cuts = np.searchsorted(order[by_order], np.arange(ORDER + 2))
-        for o in range(ORDER + 1):
-            lo, hi = int(ends[o]), int(ends[o + 1])
-            if lo == hi:
-                continue
-            mine = by_order[cuts[o] : cuts[o + 1]]
-            seen = np.zeros((hi - lo, 256, k), np.float32)
-            seen[node[mine] - lo, symbol[mine], lang[mine]] = n[mine]
-            total, kinds = seen.sum(axis=1), (seen > 0).sum(axis=1)
-            # The context that is one byte shorter: drop the oldest byte.
-            if o:
-                shorter = self.find(np.full(hi - lo, o - 1), names[lo:hi] & _MASKS[o - 1])
-                below = self.costs[shorter]
-            else:
-                below = np.full((hi - lo, 256, k), 8.0, np.float32)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(kinds > 0, np.log2((total + kinds) / np.maximum(kinds, 1)), 0)[:, None, :]
-                own = np.log2((total + kinds)[:, None, :]) - np.log2(seen)
-            self.costs[lo:hi] = np.where(seen > 0, own, below + escape)
-        assert (np.diff(orders) >= 0).all()
-        self.flat = np.ascontiguousarray(self.costs.reshape(-1, k))
-        # Place of every possible context of up to two bytes, and of the kept ones of three.
-        self.place = [np.full(1 << (8 * o), -1, np.int32) for o in range(ORDER + 1)]
+        self.trees = {}
         for o in range(ORDER + 1):
-            lo, hi = int(ends[o]), int(ends[o + 1])
-            self.place[o][names[lo:hi] & 0xFFFFFFFF] = np.arange(lo, hi)
-        for o in range(1, ORDER + 1):
-            low = np.arange(len(self.place[o])) & _MASKS[o - 1] if o < 3 else None
-            if low is not None:
-                self.place[o] = np.where(self.place[o] < 0, self.place[o - 1][low], self.place[o])
-
-    def find(self, order: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Node of each context, or of the longest shorter one that is kept."""
-        order, context = order.astype(np.int64), context.astype(np.int64)
-        out = np.zeros(len(order), np.int64)
-        open_ = np.arange(len(order))
-        while len(open_):
-            name = order[open_] << 32 | context[open_]
-            at = np.minimum(np.searchsorted(self.names, name), len(self.names) - 1)
-            hit = (self.names[at] == name) | (order[open_] == 0)
-            out[open_[hit]] = np.where(order[open_[hit]] == 0, 0, at[hit])
-            open_ = open_[~hit]
-            order[open_] -= 1
-            context[open_] &= np.array(_MASKS)[order[open_]]
+            for k in range(len(langs)):
+                mine = np.flatnonzero((order == o) & (lang == k))
+                if not len(mine):
+                    continue
+                code = context[mine].astype(np.int64) << 8 | symbol[mine]
+                by_code = np.argsort(code)
+                code, seen = code[by_code], n[mine][by_code].astype(np.float64)
+                names, first, kinds = np.unique(code >> 8, return_index=True, return_counts=True)
+                total = np.add.reduceat(seen, first)
+                own = np.log2(np.repeat(total + kinds, kinds)) - np.log2(seen)
+                self.trees[k, o] = code, own.astype(np.float32), names, np.log2((total + kinds) / kinds).astype(np.float32)
+
+    def costs(self, code: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each code under each language, ``reach`` context bytes being known."""
+        out = np.zeros((len(code), len(self.langs)))
+        for k in range(len(self.langs)):
+            open_ = np.arange(len(code))
+            for o in range(ORDER, -1, -1):
+                if (k, o) not in self.trees:
+                    continue
+                grams, own, names, escape = self.trees[k, o]
+                here = reach[open_] >= o
+                at = open_[here]
+                wanted = code[at] & _MASKS[o + 1]
+                spot, hit = _find(grams, wanted)
+                out[at[hit], k] += own[spot[hit]]
+                missed = at[~hit]
+                spot, met = _find(names, wanted[~hit] >> 8)
+                out[missed[met], k] += escape[spot[met]]
+                open_ = np.concatenate([open_[~here], missed])
+            out[open_, k] += 8.0
         return out
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -157,14 +135,9 @@ class Model:
         if not len(data):
             return out
         code, reach = _codes(data, offsets)
-        context = code >> np.uint32(8)
-        node = self.place[ORDER][context]
-        shorter = np.flatnonzero((reach < ORDER) | (node < 0))
-        depth = np.minimum(reach[shorter], ORDER - 1)
-        for o in range(ORDER):
-            at = shorter[depth == o]
-            node[at] = self.place[o][context[at] & np.uint32(_MASKS[o])]
-        cost = self.flat[node.astype(np.int64) * 256 + (code & np.uint32(255))]
+        # Most places repeat a code of the chunk: each one is looked up once.
+        names, place = np.unique(code.astype(np.int64) | reach << 32, return_inverse=True)
+        cost = self.costs(names & 0xFFFFFFFF, names >> 32)[place]
         rows = np.flatnonzero(np.diff(offsets))
         out[rows] = np.add.reduceat(cost, offsets[:-1][rows], axis=0, dtype=np.float64)
         return out
@@ -176,17 +149,20 @@ _loaded: dict[int, Model] = {}
 def train(docs: DataFrame, usable: Column) -> tuple[list[str], dict[str, np.ndarray]]:
     """Frozen statistics from all documents (doc_id, text, lang) that meet ``usable`` and have text and lang.
 
-    The counts cover the whole texts of all of them. What comes to the driver is bounded by
-    ``MAX_CONTEXTS`` contexts for each order, 256 bytes and the languages.
+    The counts cover the whole texts of all of them. One row for each different string of up to ORDER + 1
+    bytes of a language comes to the driver and to each task: no context is dropped, so the table grows with the
+    number of such strings.
     """
     learnt = bounded_batches(docs).filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     )
     table = contexts(counts(learnt)).toArrow()
-    langs = sorted(set(table.column("lang").to_pylist()))
+    named = table.column("lang").combine_chunks().dictionary_encode()
+    langs = sorted(named.dictionary.to_pylist())
     number = {lang: i for i, lang in enumerate(langs)}
-    rows = {c: table.column(c).to_numpy() for c in ("order", "context", "symbol", "n")}
-    rows["lang"] = np.array([number[x] for x in table.column("lang").to_pylist()], np.int64)
+    # Contexts have up to 24 bits.
+    rows = {c: table.column(c).to_numpy().astype(t) for c, t in (("order", np.int8), ("context", np.int32), ("symbol", np.uint8), ("n", np.int64))}
+    rows["lang"] = np.array([number[x] for x in named.dictionary.to_pylist()], np.int32)[named.indices.to_numpy()]
     return langs, rows
 
 

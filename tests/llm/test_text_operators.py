@@ -205,6 +205,20 @@ def test_code_lengths_equal_definition(spark):
         assert np.allclose(got, [bits(lang, data) for lang in model.langs], atol=1e-3)
 
 
+def test_no_context_of_a_small_language_is_dropped(spark):
+    import numpy as np
+
+    # The large language has more contexts of three bytes than were kept before, each more frequent than those of the small one.
+    rng = np.random.default_rng(1)
+    large = "".join(chr(0x4E00 + x) for x in rng.integers(0, 12_000, 60_000)) * 2
+    frame = spark.createDataFrame([(1, large, "zz"), (2, "qvxqvy", "aa")], "doc_id long, text string, lang string")
+    model = language_id.Model(*language_id.train(frame, F.lit(True)))
+    got = model.lengths(np.frombuffer(b"qvxqvy", np.uint8), np.array([0, 6]))[0, model.langs.index("aa")]
+    # q: 2 of 6, 4 kinds. v after q, x after qv, q after qvx, v after vxq, y after xqv.
+    want = np.log2(10 / 2) + np.log2(3 / 2) + np.log2(4) + 1 + 1 + 1
+    assert abs(got - want) < 1e-3
+
+
 def test_language_edges(spark):
     frame = spark.createDataFrame([(1, "the cat", "en"), (2, "der Hund", "de"), (3, None, "en"), (4, "12 3", None), (None, "the cat", None), (5, "", "fr")], "doc_id long, text string, lang string")
     model = language_id.train(frame, F.lit(True))
