@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skytable.fixtures import table
 from skytable.llm import (
+    collocations,
     decontamination,
     fingerprints,
     html_text,
@@ -101,3 +102,52 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices in every document."""
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of two and three words that stand together, of each language of the documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=10, covered=50, top=2000)
+
+
+ORACLES["op11_phrase_collocations"] = r"""
+WITH split AS (
+    SELECT coalesce(lang, 'und') AS lang, doc_id, pos AS part, piece
+    FROM (
+        SELECT lang, doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pos
+        FROM (
+            SELECT lang, doc_id, regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+            FROM documents)
+        )
+), lists AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM split
+), grams AS (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+    FROM lists, (VALUES (1), (2), (3)) AS sizes(k)
+    WHERE len(w) >= k
+), f AS (
+    SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL
+), n AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), candidate AS (
+    SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10
+), inner_pairs AS (
+    SELECT lang, array_to_string(w[s:s + 1], ' ') AS phrase, a AS longer FROM candidate, (VALUES (1), (2)) AS starts(s) WHERE k = 3
+), dropped AS (
+    SELECT DISTINCT c.lang, c.phrase FROM candidate c JOIN inner_pairs i USING (lang, phrase) WHERE c.k = 2 AND 100 * i.longer >= 50 * c.a
+), cuts AS (
+    SELECT c.lang, c.phrase, c.a, cut, lf.f AS l, rf.f AS r,
+        ((1000000::HUGEINT * c.a * c.a) // (lf.f::HUGEINT * rf.f))::BIGINT AS score
+    FROM candidate c
+    JOIN (VALUES (1), (2)) AS places(cut) ON cut < c.k
+    JOIN f lf ON lf.lang = c.lang AND lf.phrase = array_to_string(c.w[1:cut], ' ')
+    JOIN f rf ON rf.lang = c.lang AND rf.phrase = array_to_string(c.w[cut + 1:c.k], ' ')
+    WHERE NOT EXISTS (SELECT 1 FROM dropped d WHERE d.lang = c.lang AND d.phrase = c.phrase)
+), weakest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
