@@ -19,6 +19,7 @@ from skytable.llm import (
     sentencepiece_codec,
     substring_dedup,
     suffix_dedup,
+    token_counts,
     toxicity,
 )
 from skytable.llm.common import crc_mod
@@ -151,3 +152,11 @@ WITH split AS (
 )
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under a byte-pair model, and whether they are more than 4,096."""
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
