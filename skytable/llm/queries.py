@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skytable.fixtures import table
 from skytable.llm import (
     collocations,
+    conversation_trie,
     decontamination,
     fingerprints,
     html_text,
@@ -160,3 +161,41 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every common beginning of the rebuilt conversations, with what its subtree holds and saves."""
+    return conversation_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_conversation_trie"] = r"""
+WITH turns AS (
+    SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), heads AS (
+    SELECT c, own, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 4 AS h
+    FROM turns
+), rebuilt AS (
+    SELECT t.c, list_concat(coalesce(b.own, [])[1:t.h], t.own[t.h + 1:]) AS path
+    FROM heads t LEFT JOIN turns b ON b.c = t.c - t.c % 20
+), steps AS (
+    SELECT c, len(path) AS size, path, unnest(range(0, len(path) + 1)) AS depth FROM rebuilt
+), nodes AS (
+    SELECT depth, path[1:depth] AS prefix, min(c) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (size = depth), '')) AS ends_sha256,
+        CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(path[depth].text, '[^\x20\x09-\x0D]+')) END AS words
+    FROM steps GROUP BY depth, prefix, words
+), edges AS (
+    SELECT n.depth, n.prefix, n.conv_id, p.conv_id AS parent_conv_id, n.n_convs, n.ends_sha256, n.words,
+        (SELECT count(*) FROM nodes k WHERE k.depth = n.depth + 1 AND k.prefix[1:n.depth] = n.prefix) AS n_children
+    FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
+), sums AS (
+    SELECT top, prefix[1:top] AS prefix, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS top FROM edges) GROUP BY ALL
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM edges JOIN sums ON sums.top = edges.depth AND sums.prefix = edges.prefix
+"""
