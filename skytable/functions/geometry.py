@@ -255,6 +255,19 @@ def clip_to_box(geom: Column, min_x: Column, min_y: Column, max_x: Column, max_y
     return F.transform(solid, lambda poly: F.transform(poly, lambda r: r["ring"]))
 
 
+def is_rectangle(geom: Column) -> Column:
+    """One ring of four sides along the axes, with area."""
+    ring = F.flatten(F.flatten(geom))
+
+    def sides(r, level, upright):
+        p = [F.get(r, i) for i in range(5)]
+        level_first = (p[0][level] == p[1][level]) & (p[2][level] == p[3][level]) & (p[1][upright] == p[2][upright]) & (p[3][upright] == p[0][upright])
+        return level_first & (p[0]["x"] != p[2]["x"]) & (p[0]["y"] != p[2]["y"]) & (p[0] == p[4])
+
+    single = (F.size(geom) == 1) & (F.size(F.element_at(geom, 1)) == 1) & (F.size(F.flatten(F.flatten(geom))) == 5)
+    return F.when(single, let(ring, lambda r: sides(r, "y", "x") | sides(r, "x", "y"))).otherwise(F.lit(False))
+
+
 def contains_point(ring: Column, x: Column, y: Column) -> Column:
     """Even-odd rule for a closed ring."""
     crossings = F.aggregate(

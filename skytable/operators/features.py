@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skytable.functions import geometry as geo
+from skytable.operators.footprints import cut_to_box
 from skytable.functions.text import fold, non_blank, number
 from skytable.operators.skew import numbered, salted_join
 
@@ -73,8 +74,11 @@ def json_safe(props: Column) -> Column:
 def clip_features(
     df: DataFrame, min_x: Column, min_y: Column, max_x: Column, max_y: Column, digits: int = 2
 ) -> DataFrame:
-    """Cut features at a box; ``area_m2`` is refreshed only where it exists and the area shrank."""
-    # Most features lie wholly inside or outside: only the rest is cut.
+    """Cut features at a box; ``area_m2`` is refreshed only where it exists and the area shrank.
+
+    Rectangles are cut by column functions. All others are made valid first and may fall in several parts: then the geometry has
+    a polygon for each, and ``geom_type``, where there is one, says so. Features with nothing inside the box are dropped.
+    """
     boxed = df.withColumn("_b", geo.bounds(F.col("geom")))
     outside = (
         (F.col("_b.max_x") <= min_x) | (F.col("_b.min_x") >= max_x)
@@ -84,17 +88,22 @@ def clip_features(
         (F.col("_b.min_x") >= min_x) & (F.col("_b.max_x") <= max_x)
         & (F.col("_b.min_y") >= min_y) & (F.col("_b.max_y") <= max_y)
     )
-    near = boxed.filter(~outside)
-    part = F.when(inside, F.col("geom")).otherwise(geo.clip_to_box(F.col("geom"), min_x, min_y, max_x, max_y))
-    cut = near.withColumn("_cut", part).withColumn("_inside", inside).filter(F.size("_cut") > 0)
-    smaller = geo.planar_area(F.col("_cut")) < geo.planar_area(F.col("geom")) * (1 - 1e-9)
+    near = boxed.filter(~outside).withColumn("_inside", inside).withColumn("_plain", geo.is_rectangle(F.col("geom")))
+    sides = [s.cast("double") for s in (min_x, min_y, max_x, max_y)]
+    near = cut_to_box(near, "_parts", F.when(~F.col("_plain"), F.col("geom")), *sides)
+    common = [F.greatest(F.col("_b.min_x"), sides[0]), F.greatest(F.col("_b.min_y"), sides[1]), F.least(F.col("_b.max_x"), sides[2]), F.least(F.col("_b.max_y"), sides[3])]
+    easy = F.when(F.col("_inside"), F.col("geom")).otherwise(geo.box_geometry(*common))
+    cut = near.withColumn("_cut", F.when(F.col("_plain"), easy).otherwise(F.col("_parts.geom"))).filter(F.size("_cut") > 0)
+    before = F.coalesce(F.col("_parts.area"), geo.planar_area(F.col("geom")))
+    smaller = geo.planar_area(F.col("_cut")) < before * (1 - 1e-9)
     shrank = F.when(F.col("_inside"), F.lit(False)).otherwise(smaller)
     fresh = F.round(geo.geodesic_area(F.col("_cut")), digits)
-    return (
-        cut.withColumn("area_m2", F.when(F.col("area_m2").isNotNull() & shrank, fresh).otherwise(F.col("area_m2")))
-        .withColumn("geom", F.col("_cut"))
-        .drop("_cut", "_b", "_inside")
-    )
+    out = cut.withColumn("area_m2", F.when(F.col("area_m2").isNotNull() & shrank, fresh).otherwise(F.col("area_m2")))
+    if "geom_type" in df.columns:
+        changed = ~(F.col("_inside") & F.col("_plain"))
+        kind = F.when(F.size("_cut") > 1, F.lit("MultiPolygon")).otherwise(F.lit("Polygon"))
+        out = out.withColumn("geom_type", F.when(changed, kind).otherwise(F.col("geom_type")))
+    return out.withColumn("geom", F.col("_cut")).select(*df.columns)
 
 
 def proj_props(epsg: Column, height: Column, width: Column, left: Column, bottom: Column, right: Column, top: Column) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skytable.functions import geometry as geo
+from skytable.functions import planar
 from skytable.functions import pixels as px
 from skytable.operators import components as comp
 from skytable.operators.skew import salted_join
@@ -19,6 +21,7 @@ SIMPLIFY_PX = 1.5
 MAX_VERTICES = 1500
 DOUBLINGS = 6
 PLAIN = "array<array<array<array<double>>>>"
+_ARROW = pa.list_(pa.list_(pa.list_(pa.list_(pa.float64()))))
 
 
 def _plain(geom: Column) -> Column:
@@ -176,6 +179,64 @@ def repair(geom: Column) -> Column:
     return _points(run(_plain(geom)))
 
 
+VALID = f"struct<geom:{PLAIN},reason:string>"
+
+
+def _rings(polygons) -> list:
+    return [[[tuple(q) for q in r] for r in p] for p in polygons]
+
+
+def _valid(polygons) -> tuple[list | None, str | None]:
+    given = _rings(polygons)
+    if all(planar.is_simple(p) for p in given) and planar.holes_fit(given):
+        return given, None
+    fixed = planar.overlay([r for p in given for r in p])
+    return (fixed, "repaired") if fixed else (None, "no area")
+
+
+def make_valid(geom: Column) -> Column:
+    """Struct of ``geom`` and ``reason``: valid polygons of what lies inside the rings by the even-odd rule.
+
+    A valid geometry stays as it is and has no reason. Rings that cross are cut at the crossings (``repaired``): a bow tie gives two
+    polygons, a spike goes, and parts that lie on one another twice are outside. ``no area`` leaves no geometry.
+    """
+
+    def run(values: pa.Array) -> pa.Array:
+        found = [(None, "no geometry") if g is None else _valid(g) for g in values.to_pylist()]
+        return pa.array([{"geom": g, "reason": why} for g, why in found], pa.struct([("geom", _ARROW), ("reason", pa.string())]))
+
+    run = F.arrow_udf(run, VALID)
+    return geo.let(run(_plain(geom)), lambda v: F.struct(_points(v["geom"]).alias("geom"), v["reason"].alias("reason")))
+
+
+CUT = f"struct<geom:{PLAIN},area:double>"
+
+
+def cut_to_box(df: DataFrame, name: str, geom: Column, *box: Column) -> DataFrame:
+    """Add the struct ``name`` of ``geom``, the true parts of a polygon inside a box, and ``area``, that of the valid polygon before the cut.
+
+    The geometry is null where nothing is left. A polygon that is valid and lies inside stays as it is.
+    """
+
+    def run(values: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
+        found = []
+        for g, left, bottom, right, top in zip(*[v.to_pylist() for v in (values, x0, y0, x1, y1)]):
+            whole = None if g is None else _valid(g)[0]
+            if not whole:
+                found.append({"geom": None, "area": None})
+                continue
+            size = sum(abs(_ring_area(np.asarray(r))) * (-1 if k else 1) for p in whole for k, r in enumerate(p))
+            points = np.concatenate([np.asarray(r) for p in whole for r in p])
+            inside = (points >= (left, bottom)).all() and (points <= (right, top)).all()
+            part = whole if inside else planar.overlay([r for p in whole for r in p], (left, bottom, right, top))
+            found.append({"geom": part or None, "area": size})
+        return pa.array(found, pa.struct([("geom", _ARROW), ("area", pa.float64())]))
+
+    # Marked so that later filters and projections do not run it again.
+    cut = df.withColumn(name, F.arrow_udf(run, CUT).asNondeterministic()(_plain(geom), *box))
+    return cut.withColumn(name, F.struct(_points(F.col(name)["geom"]).alias("geom"), F.col(name)["area"].alias("area")))
+
+
 def footprints(blocks: DataFrame, rasters: DataFrame, side: int, epsg: int, probe: int = PROBE_PX, min_blob: int = MIN_BLOB_PX) -> DataFrame:
     """Footprint of each raster from its validity mask: one row per row of ``rasters``.
 
@@ -213,10 +274,10 @@ def footprints(blocks: DataFrame, rasters: DataFrame, side: int, epsg: int, prob
     placed = shaped.withColumn("_t", probe_tf).withColumn(
         "geom", geo.map_points(F.col("geom"), lambda p: geo.pixel_to_world(p["y"], p["x"], F.col("_t")))
     )
-    sound = materialize(placed.select("raster", repair(F.col("geom")).alias("geom")))
+    sound = materialize(placed.select("raster", make_valid(F.col("geom"))["geom"].alias("geom")))
     # Rounding can pull points together, so the geometry is repaired once more.
     lonlat = materialize(sound.filter("geom IS NOT NULL").withColumn("geom", geo.to_lonlat(F.col("geom"), epsg, 7)))
-    rounded = materialize(lonlat.withColumn("geom", repair(F.col("geom"))))
+    rounded = materialize(lonlat.withColumn("geom", make_valid(F.col("geom"))["geom"]))
     usable = rounded.filter("geom IS NOT NULL").select("raster", "geom", geo.bounds(F.col("geom")).alias("bbox"))
     known = (
         rasters.select("raster").join(fraction, "raster", "left").join(shaped.select("raster", F.lit(True).alias("_shaped")), "raster", "left")

@@ -224,6 +224,31 @@ def geo9(q):
     )
 
 
+COMB_BOX = (160.25, 140.5, 755.75, 683.25)
+
+
+@query(
+    "geo9_clip_parts",
+    f"""WITH f AS (SELECT o_orderkey AS feature_id, CAST(o_orderkey % 1000 AS DOUBLE) AS x, CAST(o_custkey % 1000 AS DOUBLE) AS y, 2 + o_orderkey % 4 AS teeth FROM orders),
+b AS (SELECT *, greatest(0, least(x + 20 * teeth - 10, {COMB_BOX[2]}) - greatest(x, {COMB_BOX[0]})) * greatest(0, least(y + 10, {COMB_BOX[3]}) - greatest(y, {COMB_BOX[1]})) AS back FROM f),
+t AS (SELECT feature_id, x, y, unnest(range(0, teeth)) AS k FROM f),
+a AS (SELECT feature_id, greatest(0, least(x + 20 * k + 10, {COMB_BOX[2]}) - greatest(x + 20 * k, {COMB_BOX[0]})) * greatest(0, least(y + 40, {COMB_BOX[3]}) - greatest(y + 10, {COMB_BOX[1]})) AS tooth FROM t),
+s AS (SELECT feature_id, sum(tooth) AS teeth, count(*) FILTER (tooth > 0) AS n FROM a GROUP BY feature_id)
+SELECT feature_id, CASE WHEN back > 0 THEN 1 ELSE n END AS parts, round(back + s.teeth, 6)::DOUBLE AS area FROM b JOIN s USING (feature_id) WHERE back + s.teeth > 0""",
+)
+def geo9_parts(q):
+    """Combs cut by a box: without their back, the teeth are polygons of their own."""
+    k = F.col("o_orderkey")
+    x, y, teeth = (k % 1000).cast("double"), (F.col("o_custkey") % 1000).cast("double"), (2 + k % 4).cast("int")
+    # From the first tooth to the last: up its left side, across, and down to the back again.
+    tooth = lambda i: F.array(*[geo.point(x + 20 * i + dx, y + dy) for dx, dy in ((0, 10), (0, 40), (10, 40), (10, 10))])
+    top = F.flatten(F.transform(F.sequence(F.lit(0), teeth - 1), tooth))
+    ring = F.concat(F.array(geo.point(x, y)), top, F.array(geo.point(x + 20 * teeth - 10, y), geo.point(x, y)))
+    df = q.table("orders").select(k.alias("feature_id"), F.array(F.array(ring)).alias("geom"), F.lit(None).cast("double").alias("area_m2"))
+    out = feat.clip_features(df, *[F.lit(v) for v in COMB_BOX])
+    return out.select("feature_id", F.size("geom").cast("long").alias("parts"), F.round(geo.planar_area(F.col("geom")), 6).alias("area"))
+
+
 @query(
     "geo10_bounds",
     "SELECT det_id, xmin AS min_x, ymin AS min_y, xmax AS max_x, ymax AS max_y FROM fx_boxes",

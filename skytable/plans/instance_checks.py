@@ -166,3 +166,28 @@ def geo15(q):
     )
     out = foot.footprints(blocks, rasters, SIDE, 32632, probe=100)
     return out.select("raster", "valid_fraction", F.size("geom").alias("polygons"), "bbox.min_x", "bbox.max_y", "reason")
+
+
+QUAD = """SELECT o_orderkey AS id, o_orderkey % 2 AS bow, 1 + o_orderkey % 17 AS ax, 1 + o_custkey % 23 AS ay, -1 - o_custkey % 13 AS bx, 1 + o_orderkey % 19 AS b_y,
+ -1 - o_orderkey % 29 AS cx, -1 - o_custkey % 11 AS cy, 1 + o_custkey % 31 AS dx, -1 - o_orderkey % 7 AS dy FROM orders"""
+
+
+@query(
+    "geo14_make_valid",
+    f"""WITH p AS ({QUAD}),
+s AS (SELECT *, (cx - ax) * (b_y - ay) - (cy - ay) * (bx - ax) AS sb, (cx - ax) * (dy - ay) - (cy - ay) * (dx - ax) AS sd,
+ (dx - bx) * (ay - b_y) - (dy - b_y) * (ax - bx) AS sa, (dx - bx) * (cy - b_y) - (dy - b_y) * (cx - bx) AS sc FROM p),
+x AS (SELECT *, bow = 1 AND sb * sd < 0 AND sa * sc < 0 AS crossing, sa::DOUBLE / (sa - sc) AS t FROM s),
+y AS (SELECT *, ax + t * (cx - ax) AS mx, ay + t * (cy - ay) AS my FROM x)
+SELECT id, CASE WHEN crossing THEN 2 ELSE 1 END AS polygons,
+ round(CASE WHEN bow = 0 THEN abs(ax * b_y - bx * ay + bx * cy - cx * b_y + cx * dy - dx * cy + dx * ay - ax * dy) / 2.0
+  WHEN crossing THEN (abs((cx - mx) * (b_y - my) - (cy - my) * (bx - mx)) + abs((ax - mx) * (dy - my) - (ay - my) * (dx - mx))) / 2.0
+  ELSE abs(ax * cy - cx * ay + cx * b_y - bx * cy + bx * dy - dx * b_y + dx * ay - ax * dy) / 2.0 END, 7)::DOUBLE AS area FROM y""",
+)
+def geo14_valid(q):
+    """Rings through one place of each quadrant: going round, or crossing over like a bow tie, which gives two polygons."""
+    p = q.spark.sql(QUAD.replace("FROM orders", "FROM {orders}"), orders=q.table("orders"))
+    a, b, c, d = [geo.point(F.col(x), F.col(y)) for x, y in (("ax", "ay"), ("bx", "b_y"), ("cx", "cy"), ("dx", "dy"))]
+    ring = F.when(F.col("bow") == 0, F.array(a, b, c, d, a)).otherwise(F.array(a, c, b, d, a))
+    fixed = p.select("id", foot.make_valid(F.array(F.array(ring)))["geom"].alias("g"))
+    return fixed.select("id", F.size("g").alias("polygons"), F.round(geo.planar_area(F.col("g")), 7).alias("area"))
