@@ -51,7 +51,18 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more, because their successors are written."""
+    for table in tables:
+        if path := getattr(table, "_scratch_path", None):
+            context = table.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
