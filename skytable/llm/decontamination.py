@@ -12,6 +12,7 @@ A retrieved item counts when the passage holds its question and its answer.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -242,19 +243,25 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no test item."""
-    place = docs.columns.index("text")
-    out = bounded_batches(docs)
-    for index in indexes(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)  # at most INDEX_ITEMS items
+    """The rows of ``docs``, with all their columns, that hold no test item.
 
-        def run(batches, shared=shared):
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for first in range(0, batch.num_rows, _ROWS):
-                    for r, _ in _hits(shared.value, batch.column(place).slice(first, _ROWS).to_pylist(), threshold, overlap):
-                        clean[first + r] = False
-                yield batch.filter(pa.array(clean))
+    Only texts go to Python and only a mark comes back. Rows with a null or empty text stay, repeated rows stay or go
+    together, and without items all rows stay. Other columns may have any name.
+    """
+
+    def clean(shared):
+        def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in texts:
+                out = np.ones(len(batch), bool)
+                for first in range(0, len(batch), _ROWS):
+                    for r, _ in _hits(shared.value, batch.slice(first, _ROWS).to_pylist(), threshold, overlap):
+                        out[first + r] = False
+                yield pa.array(out)
+
+        return F.arrow_udf(run, "boolean")
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    kept = bounded_batches(docs)
+    for index in indexes(items):
+        shared = docs.sparkSession.sparkContext.broadcast(index)  # at most INDEX_ITEMS items
+        kept = kept.filter(clean(shared)(F.col("text").cast("string")))
+    return kept

@@ -209,28 +209,25 @@ def keep_once(docs: DataFrame, length: int = WINDOW_BYTES, gram: int = GRAM_BYTE
     """
     rows = keyed(docs, whole=True)
     joined = repeats.with_spans(rows, repeated_bytes(rows, length, gram))
-    fields = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    place = docs.columns.index("text")
 
-    def cut(batches):
-        for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(place), batch.column(batch.num_columns - 1)):
-                ranges = repeats.merged(spans)
-                if not ranges:
-                    texts.append(text.as_py())
-                    continue
-                data, last, parts = text.as_py().encode(), 0, []
-                for lo, hi in ranges:
-                    parts.append(data[last:lo])
-                    last = hi
-                texts.append("".join(p.decode("utf-8", "ignore") for p in [*parts, data[last:]]))
-            columns = batch.columns[:-1]
-            columns[place] = pa.array(texts, columns[place].type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
-
-    last = "_" + "_".join(docs.columns)  # a name that no column has
-    out = joined.select(*fields, F.col("spans").alias(last)).mapInArrow(cut, docs.schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for text, found in zip(texts, spans):
+            ranges = repeats.merged(found)
+            if not ranges:
+                out.append(text.as_py())
+                continue
+            data, last, parts = text.as_py().encode(), 0, []
+            for lo, hi in ranges:
+                parts.append(data[last:lo])
+                last = hi
+            out.append("".join(p.decode("utf-8", "ignore") for p in [*parts, data[last:]]))
+        return pa.array(out, pa.string())
+
+    # The text and its length are made once, beside the row, and take their places in it.
+    shown = joined.select("row", F.arrow_udf(cut, "string").asNondeterministic()("text", "spans").alias("shown"))
+    fields = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    fields["text"] = F.col("shown").cast(docs.schema["text"].dataType)
+    if "n_chars" in fields:
+        fields["n_chars"] = F.length("shown").cast(docs.schema["n_chars"].dataType)
+    return shown.select(*[value.alias(c) for c, value in fields.items()])

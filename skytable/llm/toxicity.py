@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -180,15 +181,19 @@ def _scorer(model: DataFrame):
 
 
 def keep_clean(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores below one half."""
-    start, place = _scorer(model), docs.columns.index("text")
+    """The rows of ``docs``, with all their columns, whose text scores below one half.
 
-    def run(batches):
+    Only texts go to Python and only scores come back. A null or empty text scores as a text without words; repeated rows
+    stay or go together; an empty table stays empty. Other columns may have any name.
+    """
+    start = _scorer(model)
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scores = start()
-        for batch in batches:
-            yield batch.filter(pa.array(scores(batch.column(place).to_pylist()) < 0.5))
+        for batch in texts:
+            yield pa.array(scores(batch.to_pylist()), pa.float64())
 
-    return bounded_batches(docs).mapInArrow(run, docs.schema)
+    return bounded_batches(docs).filter(F.arrow_udf(run, "double")(F.col("text").cast("string")) < 0.5)
 
 
 def score(docs: DataFrame, model: DataFrame) -> DataFrame:
