@@ -33,55 +33,27 @@ def _points(geom: Column) -> Column:
     return F.transform(geom, lambda p: F.transform(p, lambda r: F.transform(r, lambda q: geo.point(q[0], q[1]))))
 
 
-def thin_ring(ring: np.ndarray, tolerance: float) -> np.ndarray:
-    """Closed ring without points nearer than the tolerance to the chord of what stays."""
-    n = len(ring)
-    if n <= 5:
-        return ring
-    keep = np.zeros(n, bool)
-    far = int(np.argmax(((ring - ring[0]) ** 2).sum(axis=1)))
-    keep[[0, far, n - 1]] = True
-    stack = [(0, far), (far, n - 1)]
-    while stack:
-        a, b = stack.pop()
-        if b - a < 2:
-            continue
-        chord = ring[b] - ring[a]
-        inner = ring[a + 1:b] - ring[a]
-        length = (chord**2).sum()
-        t = np.clip(inner @ chord / length, 0, 1) if length else np.zeros(len(inner))
-        distance = ((inner - t[:, None] * chord) ** 2).sum(axis=1)
-        i = int(np.argmax(distance))
-        if distance[i] > tolerance**2:
-            keep[a + 1 + i] = True
-            stack += [(a, a + 1 + i), (a + 1 + i, b)]
-    return ring[keep]
-
-
 def _ring_area(ring: np.ndarray) -> float:
     x, y = (ring - ring[0]).T
     return float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum() / 2)
 
 
 def simplify_polygons(polygons: list, tolerance: float, limit: int = MAX_VERTICES) -> list:
-    """Simplify with a tolerance that doubles until the vertices fit; rings that vanish are dropped."""
-    rings = [[np.asarray([list(q) for q in r], float) for r in p] for p in polygons]
-
-    def at(tol):
-        out = []
-        for p in rings:
-            thin = [thin_ring(r, tol) for r in p]
-            if len(thin[0]) >= 4 and _ring_area(thin[0]):
-                out.append([thin[0]] + [r for r in thin[1:] if len(r) >= 4 and _ring_area(r)])
-        return out
-
-    simple = at(tolerance)
+    """Simplify with a tolerance that doubles until the vertices fit, six times at most.
+
+    All rings of all polygons are thinned together, so none crosses another one afterwards, and none is lost.
+    """
+    rings = [np.asarray([list(q) for q in r], float) for p in polygons for r in p]
+    if not rings or any(len(r) < 4 for r in rings):
+        return [[[list(q) for q in r] for r in p] for p in polygons]
+    simple = planar.thinned(rings, tolerance)
     for _ in range(DOUBLINGS):
-        if sum(len(r) for p in simple for r in p) <= limit:
+        if sum(map(len, simple)) <= limit:
             break
         tolerance *= 2
-        simple = at(tolerance)
-    return [[r.tolist() for r in p] for p in (simple or rings)]
+        simple = planar.thinned(rings, tolerance)
+    parts = iter(simple)
+    return [[next(parts).tolist() for _ in p] for p in polygons]
 
 
 def simplify_bounded(geom: Column, tolerance: float = SIMPLIFY_PX, limit: int = MAX_VERTICES) -> Column:

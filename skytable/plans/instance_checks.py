@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from skytable.functions import geometry as geo
@@ -9,6 +11,7 @@ from skytable.operators import components as comp
 from skytable.operators import footprints as foot
 from skytable.operators import splitting
 from skytable.plans.registry import query
+from skytable.session import materialize
 
 SIDE, WIDE = 8, 25
 
@@ -191,3 +194,29 @@ def geo14_valid(q):
     ring = F.when(F.col("bow") == 0, F.array(a, b, c, d, a)).otherwise(F.array(a, c, b, d, a))
     fixed = p.select("id", foot.make_valid(F.array(F.array(ring)))["geom"].alias("g"))
     return fixed.select("id", F.size("g").alias("polygons"), F.round(geo.planar_area(F.col("g")), 7).alias("area"))
+
+
+@query(
+    "geo12_simplify_topology",
+    """SELECT o_orderkey AS id, true AS valid, true AS fits, true AS near, 2 AS rings FROM orders""",
+)
+def geo12_topology(q):
+    """Jagged rings with a jagged hole close to them: thinned, they cross nowhere, fit the bound and stay near the old ones."""
+    k = F.col("o_orderkey")
+
+    def ring(corners, reach, spread):
+        def corner(i):
+            angle, r = i * (2 * math.pi) / corners, reach + (k * (i + 3) * 7919 + F.col("o_custkey")) % spread / 4
+            return geo.point(r * F.cos(angle), r * F.sin(angle))
+
+        points = F.transform(F.sequence(F.lit(0), (corners - 1).cast("int")), lambda i: corner(i.cast("double")))
+        return F.concat(points, F.slice(points, 1, 1))
+
+    outer, hole = ring(20 + k % 30, F.lit(20.0), 11), ring(12 + k % 20, F.lit(12.0), 23)
+    shapes = q.table("orders").repartition(64, "o_orderkey").select(k.alias("id"), F.array(F.array(outer, hole)).alias("geom"))
+    thin = materialize(shapes.withColumn("thin", foot.simplify_bounded(F.col("geom"), 2.0, 50)))
+    length = F.aggregate(F.flatten("geom"), F.lit(0.0), lambda n, r: n + F.aggregate(geo.edges(r), F.lit(0.0), lambda m, e: m + F.hypot(e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"])))
+    # No given vertex is farther from the new ring than the tolerance, doubled twice at most here.
+    near = F.abs(geo.planar_area(F.col("geom")) - geo.planar_area(F.col("thin"))) <= 2.0 * 4 * length
+    checked = thin.select("id", foot.make_valid(F.col("thin"))["reason"].isNull().alias("valid"), (geo.vertex_count(F.col("thin")) <= 50).alias("fits"), near.alias("near"), F.size(F.flatten("thin")).alias("rings"))
+    return checked

@@ -93,3 +93,27 @@ def test_clip_gives_true_parts(spark):
     rows = {r.id: (r.n, round(r.a, 9), r.geom_type, r.area_m2 > 1) for r in got.select("id", F.size("geom").alias("n"), geo.planar_area(F.col("geom")).alias("a"), "geom_type", "area_m2").collect()}
     # The upper half of the bow tie's two lobes, up to y = 5, is two trapezoids that meet in the middle.
     assert rows == {1: (2, 8.0, "MultiPolygon", True), 2: (2, 8.0, "MultiPolygon", True), 3: (1, 6.0, "Polygon", True)}
+
+
+def test_thinning_never_crosses():
+    rng = np.random.default_rng(3)
+    for tolerance in (0.8, 1.5, 4.0):
+        for _ in range(60):
+            mask = rng.random((12, 12)) < rng.choice([0.5, 0.7, 0.85])
+            shape = planar.overlay(squares(mask))
+            rings = [r for p in shape for r in p]
+            if not rings:
+                continue
+            thin = planar.thinned(rings, tolerance)
+            again = iter(thin)
+            polygons = [[[tuple(q) for q in next(again).tolist()] for _ in p] for p in shape]
+            # Pixel polygons may touch at corners, so crossings are looked for ring by ring and pair by pair.
+            assert all(planar.is_simple([r]) for p in polygons for r in p)
+            whole = planar.overlay([r for p in polygons for r in p])
+            assert area(whole) == pytest.approx(sum(area([p]) for p in polygons))
+            assert sum(map(len, thin)) <= sum(map(len, rings))
+            for old, new in zip(rings, thin):
+                a, b = new[:-1], new[1:]
+                for x, y in old:
+                    t = np.clip((((x, y) - a) * (b - a)).sum(axis=1) / ((b - a) ** 2).sum(axis=1), 0, 1)
+                    assert np.sqrt(((a + t[:, None] * (b - a) - (x, y)) ** 2).sum(axis=1)).min() <= tolerance + 1e-9
