@@ -191,7 +191,7 @@ def _threshold(values: np.ndarray) -> float:
     """Middle between the means of two clusters; values that are all much alike are one."""
     low, high = values.min(), values.max()
     if 2 * low > high:
-        return low
+        return low / 2
     for _ in range(20):
         cut = (low + high) / 2
         upper = values >= cut
