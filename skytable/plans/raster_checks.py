@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skytable.functions import geometry as geo
 from skytable.functions import pixels as px
+from skytable.operators import burn
 from skytable.operators import raster as ras
 from skytable.plans.registry import query
 from skytable.sources.files import blocks_to_pixels
@@ -337,3 +338,27 @@ def joi11(q):
         geo.box_geometry(*[F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")]).alias("geom"),
     )
     return ras.rasterize(f, GRID)
+
+
+@query(
+    "joi11_rasterize_blocks",
+    """WITH s AS (SELECT query_id, ord, feature_id, min_lon, min_lat, max_lon, max_lat, CAST(0.002 AS DOUBLE) * (1 + query_id % 3) AS cell, CAST(50 // (1 + query_id % 3) + 1 AS INT) AS w, CAST(54 // (1 + query_id % 3) + 1 AS INT) AS h FROM fx_features WHERE geom_type <> 'LineString'),
+f AS (SELECT *, (max_lon - 7.6) / cell AS c1, (min_lon - 7.6) / cell AS c0, (max_lat - 52.01) / -cell AS r0, (min_lat - 52.01) / -cell AS r1 FROM s),
+x AS (SELECT query_id, ord, h, feature_id % 7 + 1 AS v, unnest(generate_series(CAST(floor(c0) AS INT), least(w, CAST(ceil(c1) AS INT)) - 1)) AS c, CAST(floor(r0) AS INT) AS ra, CAST(ceil(r1) AS INT) - 1 AS rb FROM f),
+y AS (SELECT query_id, ord, v, c, unnest(generate_series(greatest(ra, 0), least(rb, h - 1))) AS r FROM x), z AS (SELECT query_id, r, c, arg_max(v, ord) AS v FROM y GROUP BY query_id, r, c),
+d AS (SELECT DISTINCT query_id, w, h FROM s), e AS (SELECT query_id, w, unnest(range(0, h)) AS r FROM d), g AS (SELECT query_id, r, unnest(range(0, w)) AS c FROM e)
+SELECT g.query_id, g.r::INT AS r, g.c::INT AS c, coalesce(z.v, 0) AS value FROM g LEFT JOIN z USING (query_id, r, c)""",
+)
+def joi11_blocks(q):
+    """Features burned into blocks; every query has a grid of its own."""
+    f = q.features.filter("geom_type <> 'LineString'").select(
+        "query_id", "ord", (F.col("feature_id") % 7 + 1).alias("value"),
+        geo.box_geometry(*[F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")]).alias("geom"),
+    )
+    step = 1 + F.col("query_id") % 3
+    cell, zero = F.lit(0.002) * step, F.lit(0.0)
+    grids = f.select("query_id").distinct().select(
+        "query_id", F.lit(4326).alias("epsg"), F.array(cell, zero, F.lit(7.6), zero, -cell, F.lit(52.01)).alias("transform"),
+        (F.floor(54 / step) + 1).cast("int").alias("height"), (F.floor(50 / step) + 1).cast("int").alias("width"),
+    )
+    return burn.block_cells(burn.rasterize_blocks(f, grids, 16), grids, 16)
