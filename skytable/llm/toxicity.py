@@ -62,19 +62,24 @@ def fit(features: list[np.ndarray], positive: np.ndarray, prior: float, steps: i
         # One side is missing from the sample: only the prior is known.
         return np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior)))
     sizes = np.array([len(f) for f in features])
-    flat = np.concatenate([*features, np.zeros(0, np.int64)]).astype(np.int64)
-    names, column, texts = np.unique(flat, return_inverse=True, return_counts=True)
-    in_positive = np.bincount(column, weights=np.repeat(positive, sizes).astype(float), minlength=len(names))
+    flat = np.concatenate([*features, np.zeros(0, np.int32)]).astype(np.int32)
+    # Counts by feature number need no sorting; there are at most BUCKETS of them, and more than half are zero.
+    texts = np.bincount(flat)
+    in_positive = np.bincount(flat[np.repeat(positive, sizes)], minlength=len(texts))
+    names = np.flatnonzero(texts)
+    texts, in_positive = texts[names], in_positive[names].astype(float)
     n_pos, n_un = max(1, positive.sum()), max(1, (~positive).sum())
     # Only features whose rates in positives and in unlabelled texts differ beyond chance.
     both = texts / (n_pos + n_un)
     gap = np.abs(in_positive / n_pos - (texts - in_positive) / n_un) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_pos + 1 / n_un))
     chosen = np.flatnonzero((texts >= LEAST_TEXTS) & (gap >= LEAST_GAP))
     chosen = np.sort(chosen[np.argsort(-gap[chosen], kind="stable")[:MAX_FEATURES]])
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    kept = place[column] >= 0
-    row, column = np.repeat(np.arange(len(sizes)), sizes)[kept], place[column][kept]
+    place = np.full(int(names[-1]) + 1 if len(names) else 1, -1, np.int32)
+    place[names[chosen]] = np.arange(len(chosen), dtype=np.int32)
+    column = place[flat]
+    kept = column >= 0
+    row, column = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[kept], column[kept]
+    del flat, place, kept
     # Adaptive steps; the bias is one more weight and starts at the prior's log odds.
     weights = np.zeros(len(chosen) + 1)
     weights[-1] = np.log(prior / (1 - prior))
