@@ -9,6 +9,8 @@ and the code length of a text under each language is exact for them. The shortes
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -143,7 +145,8 @@ class Model:
         return out
 
 
-_loaded: dict[int, Model] = {}
+# The model that a Python worker has loaded, by a name that no other model has had.
+_loaded: dict[str, Model | None] = {}
 
 
 def train(docs: DataFrame, usable: Column) -> tuple[list[str], dict[str, np.ndarray]]:
@@ -175,12 +178,13 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]]) ->
     coded, repeated rows get one row each, and an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex
 
     def run(batches):
-        if id(shared) not in _loaded:
+        if name not in _loaded:
             _loaded.clear()
-            _loaded[id(shared)] = Model(*shared.value) if shared.value[0] else None
-        known = _loaded[id(shared)]
+            _loaded[name] = Model(*shared.value) if shared.value[0] else None
+        known = _loaded[name]
         for batch in batches:
             names, scores = [], []
             letters = batch.column(2).to_numpy(zero_copy_only=False)

@@ -228,3 +228,12 @@ def test_language_edges(spark):
     assert language_id.predict(frame.limit(0), model).count() == 0
     none = language_id.train(frame.limit(0), F.lit(True))
     assert {r.lang_pred for r in language_id.predict(frame, none).collect()} == {"und"}
+
+
+def test_a_second_model_is_not_scored_with_the_first(spark):
+    first = spark.createDataFrame([(1, "aaaa aaaa aaaa", "x"), (2, "bbbb bbbb bbbb", "y")], "doc_id long, text string, lang string").coalesce(1)
+    second = first.replace({"x": "y", "y": "x"}, subset=["lang"])
+    for _ in range(3):
+        for docs in (first, second):
+            found = {r.doc_id: r.lang_pred for r in language_id.predict(docs, language_id.train(docs, F.lit(True))).collect()}
+            assert found == {r.doc_id: r.lang for r in docs.collect()}
