@@ -32,12 +32,14 @@ def state_columns() -> list[Column]:
 
 
 def apply_transitions(events: DataFrame, error_limit: int | None = None) -> DataFrame:
-    """State per request: last status and progress, first start, last completion, error text.
+    """State per request: last status and progress, first start, last completion, message, error code and error text.
 
-    The error text is whole; ``error_limit`` cuts it for a store with a column of that width.
+    Message, code and text are those of the last event, null where it has none, if the events have such columns. The
+    error text is whole; ``error_limit`` cuts it for a store with a column of that width.
     """
     good, _ = split_transitions(events)
     columns = state_columns()
+    columns += [F.max_by(c, F.struct("ts", "event_id")).alias(c) for c in ("status_message", "error_code") if c in events.columns]
     if "error_message" in events.columns:
         text = F.col("error_message") if error_limit is None else F.substring("error_message", 1, error_limit)
         columns.append(F.max_by(F.nullif(text, F.lit("")), F.struct("ts", "event_id")).alias("error_message"))

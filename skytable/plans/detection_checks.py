@@ -264,3 +264,21 @@ def udf3(q):
     placed = det.georeference(kept, transform)
     ring = geo.box_geometry(*[F.col(c) for c in ("min_x", "min_y", "max_x", "max_y")])
     return placed.select("det_id", "image_id", "score", "min_x", "max_y", F.round(geo.planar_area(ring), 6).alias("area_m2"))
+
+
+@query(
+    "lif1_messages",
+    """WITH g AS (SELECT *, 'Prediction ' || status AS status_message, CASE WHEN status = 'failed' THEN 'prediction_failed' END AS error_code, CASE WHEN status = 'failed' THEN 'event ' || event_id END AS error_message
+  FROM fx_transitions WHERE progress BETWEEN 0 AND 100 AND status IN ('queued', 'preparing', 'inferencing', 'postprocessing', 'completed', 'failed', 'cancelled')),
+l AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT query_id, status, progress, status_message, error_code, error_message FROM l""",
+)
+def lif1_messages(q):
+    """Message, error code and error text of the last event of each request."""
+    failed = F.col("status") == "failed"
+    events = q.transitions.withColumns({
+        "status_message": F.concat(F.lit("Prediction "), F.col("status")),
+        "error_code": F.when(failed, F.lit("prediction_failed")),
+        "error_message": F.when(failed, F.concat(F.lit("event "), F.col("event_id").cast("string"))),
+    })
+    return life.apply_transitions(events).select("query_id", "status", "progress", "status_message", "error_code", "error_message")
