@@ -189,6 +189,27 @@ def gate_mask(mask: DataFrame, vegetation: DataFrame | None, keys: Sequence[str]
     return mask.join(veg, list(keys), "left").withColumn("on", px.gate(F.col("on"), F.col("_veg"))).drop("_veg")
 
 
+def class_mask_blocks(blocks: DataFrame, value: Column, cls: int, side: int) -> DataFrame:
+    """Add the block array ``mask`` of one class, and the counts ``pixels`` and ``on``, within the raster's own size.
+
+    ``value`` is an array column of side x side classes; block_row, block_col, height and width say which of them lie in the raster. Rows and
+    columns that padding added are false in the mask and are not counted. Nothing leaves its block.
+    """
+    def in_raster(i):
+        return (F.col("block_row") * side + F.floor(i / side) < F.col("height")) & (F.col("block_col") * side + i % side < F.col("width"))
+
+    rows = F.greatest(F.lit(0), F.least(F.lit(side), F.col("height") - F.col("block_row") * side))
+    cols = F.greatest(F.lit(0), F.least(F.lit(side), F.col("width") - F.col("block_col") * side))
+    masked = blocks.withColumn("mask", F.transform(value, lambda v, i: F.coalesce(v == cls, F.lit(False)) & in_raster(i)))
+    return masked.withColumn("pixels", (rows * cols).cast("long")).withColumn("on", F.size(F.filter("mask", lambda m: m)).cast("long"))
+
+
+def class_cover(masked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pixels and pixels of the class per raster, with their share; one number of each leaves a block."""
+    sums = masked.groupBy(*keys).agg(F.sum("pixels").alias("pixels"), F.sum("on").alias("on"))
+    return sums.withColumn("share", F.try_divide(F.col("on"), F.col("pixels")))
+
+
 def rasterize(features: DataFrame, grid: dict, keys: Sequence[str] = ("query_id",), strip_rows: int = 64) -> DataFrame:
     """Label grid of polygons: every touched cell, a later feature overwrites, background 0.
 

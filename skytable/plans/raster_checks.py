@@ -362,3 +362,18 @@ def joi11_blocks(q):
         (F.floor(54 / step) + 1).cast("int").alias("height"), (F.floor(50 / step) + 1).cast("int").alias("width"),
     )
     return burn.block_cells(burn.rasterize_blocks(f, grids, 16), grids, 16)
+
+
+@query(
+    "ras21_class_mask_blocks",
+    """WITH p AS (SELECT block_id // 4 AS raster, block_id % 4 // 2 * 8 + r AS r, block_id % 2 * 8 + c AS c, dn % 5 AS v FROM fx_pixels)
+SELECT raster, count(*) AS pixels, count(*) FILTER (WHERE v = 1) AS "on", count(*) FILTER (WHERE v = 1)::DOUBLE / count(*) AS share FROM p WHERE r < 9 + raster % 8 AND c < 16 - raster % 7 GROUP BY raster""",
+)
+def ras21_blocks(q):
+    """Cover of one class in rasters of four blocks, of which padding was added to the last rows and columns."""
+    raster = F.floor(F.col("block_id") / 4)
+    blocks = q.blocks.select(
+        raster.alias("raster"), F.floor(F.col("block_id") % 4 / 2).alias("block_row"), (F.col("block_id") % 2).alias("block_col"),
+        (9 + raster % 8).alias("height"), (16 - raster % 7).alias("width"), F.transform("dn", lambda v: v % 5).alias("classes"),
+    )
+    return ras.class_cover(ras.class_mask_blocks(blocks, F.col("classes"), 1, SIDE), ["raster"])
