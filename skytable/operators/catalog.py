@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skytable.functions import geometry as geo
 from skytable.functions import rules
 from skytable.functions.text import non_blank, number, strip
+from skytable.operators.features import proj_props
 from skytable.operators.skew import first_by, prefix_scan, salted_join
 
 MIN_ASSET_BYTES = 100_000
@@ -130,30 +131,76 @@ def asset_checks(df: DataFrame) -> DataFrame:
     return df.withColumn("reason", reason).withColumn("wide", F.col("max_lon") - F.col("min_lon") > 180)
 
 
+# Extensions of an item, and how the true-colour raster is described.
+ITEM_EXTENSIONS = tuple(f"https://stac-extensions.github.io/{name}/schema.json" for name in ("eo/v1.1.0", "projection/v1.1.0", "raster/v1.1.0", "sat/v1.0.0", "file/v2.1.0"))
+RASTER_MEDIA_TYPE = "image/tiff; application=geotiff; profile=cloud-optimized"
+RASTER_TITLE = "True-colour RGB (8-bit COG, EPSG:3857, internal mask)"
+RASTER_ROLES = ("visual", "data", "overview")
+RGB = ("B04", "B03", "B02")
+
+
+def _properties(df: DataFrame) -> list[Column]:
+    """Properties of a scene; their names are fixed values."""
+    return [
+        F.col("datetime"),
+        F.lit("sentinel-2").alias("constellation"),
+        F.col("tile").alias("s2:mgrs_tile"),
+        F.col("orbit").alias("sat:absolute_orbit"),
+        F.lit(10).alias("gsd"),
+        F.lit("L2A").alias("s2:processing_level"),
+        F.round("valid_fraction", 5).alias("s2:valid_fraction"),
+        F.col("cloud").alias("eo:cloud_cover"),
+        F.col("title").alias("s2:product_uri"),
+        rules.platform(F.col("title")).alias("platform"),
+        *[F.col(c).alias(n) for c, n in (
+            ("area_covered", "s2:area_covered"), ("black_area", "s2:black_area"),
+            ("baseline", "s2:processing_baseline"), ("datatake", "s2:datatake_start"),
+        ) if c in df.columns],
+    ]
+
+
 def build_items(df: DataFrame) -> DataFrame:
     """Catalogue items; unknown properties are left out by the JSON writer."""
-    properties = F.to_json(
-        F.struct(
-            F.col("datetime"),
-            F.lit("sentinel-2").alias("constellation"),
-            F.col("tile").alias("s2:mgrs_tile"),
-            F.col("orbit").alias("sat:absolute_orbit"),
-            F.lit(10).alias("gsd"),
-            F.lit("L2A").alias("s2:processing_level"),
-            F.round("valid_fraction", 5).alias("s2:valid_fraction"),
-            F.col("cloud").alias("eo:cloud_cover"),
-            F.col("title").alias("s2:product_uri"),
-            rules.platform(F.col("title")).alias("platform"),
-            *[F.col(c).alias(n) for c, n in (
-                ("area_covered", "s2:area_covered"), ("black_area", "s2:black_area"),
-                ("baseline", "s2:processing_baseline"), ("datatake", "s2:datatake_start"),
-            ) if c in df.columns],
-        )
-    )
     return df.select(
         F.col("name").alias("id"), "collection",
-        F.array("min_lon", "min_lat", "max_lon", "max_lat").alias("bbox"), properties.alias("properties"),
+        F.array("min_lon", "min_lat", "max_lon", "max_lat").alias("bbox"), F.to_json(F.struct(*_properties(df))).alias("properties"),
+    )
+
+
+def whole_items(df: DataFrame) -> DataFrame:
+    """(id, collection, bbox, properties, geometry, assets, item) of scenes: ``item`` is the whole document as JSON text.
+
+    Beside the columns of ``build_items``, scenes have ``geom`` (the footprint), href and size of the raster, epsg, height, width and the bounds left, bottom,
+    right and top in its system. The box is that of the footprint. Unknown properties are left out. Scenes without a footprint are no items.
+    """
+    proj = proj_props(*[F.col(c) for c in ("epsg", "height", "width", "left", "bottom", "right", "top")])
+    parts = df.filter("geom IS NOT NULL").withColumn("_p", proj).withColumn("_b", geo.bounds(F.col("geom")))
+    described = [F.col(f"_p.{c}").alias(f"proj:{c}") for c in ("epsg", "shape", "transform", "bbox")]
+    bands = {name: (common, wavelength) for name, _, common, wavelength in BANDS}
+    asset = F.struct(
+        F.col("href"),
+        F.lit(RASTER_MEDIA_TYPE).alias("type"),
+        F.array(*[F.lit(r) for r in RASTER_ROLES]).alias("roles"),
+        F.lit(RASTER_TITLE).alias("title"),
+        F.lit(10).alias("gsd"),
+        F.col("size").alias("file:size"),
+        F.array(*[F.struct(F.lit(b).alias("name"), F.lit(bands[b][0]).alias("common_name"), F.lit(bands[b][1]).alias("center_wavelength")) for b in RGB]).alias("eo:bands"),
+        F.array(*[F.struct(F.lit("uint8").alias("data_type"), F.lit(8).alias("bits_per_sample"), F.lit(bands[b][0]).alias("name")) for b in RGB]).alias("raster:bands"),
+    )
+    bbox = F.array(*[F.col(f"_b.{c}") for c in ("min_x", "min_y", "max_x", "max_y")])
+    items = parts.select(
+        F.col("name").alias("id"), "collection", bbox.alias("bbox"), F.to_json(F.struct(*_properties(df), *described)).alias("properties"),
+        geo.geometry_json(F.col("geom")).alias("geometry"), F.to_json(F.struct(asset.alias("visual"))).alias("assets"),
+    )
+    # The parts are JSON already, so the document is put together from them.
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), 2, 2**30)
+    text = lambda c: F.regexp_replace(quoted(c), r"\]$", "")
+    head = F.lit('{"type":"Feature","stac_version":"1.1.0","stac_extensions":[' + ",".join(f'"{e}"' for e in ITEM_EXTENSIONS) + '],"id":')
+    item = F.concat(
+        head, text(F.col("id")), F.lit(',"geometry":'), F.col("geometry"), F.lit(',"bbox":'), F.to_json("bbox"), F.lit(',"properties":'), F.col("properties"),
+        F.lit(',"links":[],"assets":'), F.col("assets"), F.lit(',"collection":'), text(F.col("collection")), F.lit("}"),
     )
+    return items.withColumn("item", item)
 
 
 def collection_summary(items: DataFrame) -> DataFrame:

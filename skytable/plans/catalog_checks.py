@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skytable.functions import geometry as geo
 from skytable.functions import rules
 from skytable.functions.text import number, strip
 from skytable.operators import catalog as cat
@@ -348,3 +349,30 @@ def win10(q):
 def set3(q):
     done = q.links.filter("link_seq % 997 = 0").select(F.col("tile_id").alias("tile"))
     return cat.diff_ids(q.scenes, done, "tile")
+
+
+@query(
+    "fil26_whole_items",
+    f"""WITH t AS (SELECT *, {NAME_SQL} AS name, round(min_lon * 1000) AS x0, round(min_lat * 1000) AS y0, round(max_lon * 1000) AS x1, round(max_lat * 1000) AS y1 FROM fx_scenes)
+SELECT name AS id, 'Feature' AS type, 'Polygon' AS geometry_type, 5::BIGINT AS corners, x0 + 100 AS first_x, y0 AS first_y, x1 - x0 AS wide, y1 - y0 AS tall, 100000 + CAST(x0 AS BIGINT) AS size, 'scenes/' || name || '.tif' AS href,
+ 3::BIGINT AS bands, 3857 AS epsg, 50 AS height, 75 AS width, 2.0::DOUBLE AS pixel, 0::BIGINT AS links, CASE substr(title, 1, 3) WHEN 'S2A' THEN 'sentinel-2a' WHEN 'S2B' THEN 'sentinel-2b' END AS platform FROM t WHERE scene_id % 13 <> 0""",
+)
+def fil26_whole(q):
+    """Whole item documents, read back: footprint, box, asset, raster description and properties."""
+    x0, y0, x1, y1 = [F.round(F.col(c) * 1000) for c in ("min_lon", "min_lat", "max_lon", "max_lat")]
+    ring = F.array(geo.point(x0 + 100, y0), geo.point(x1, y0 + 200), geo.point(x1 - 100, y1), geo.point(x0, y1 - 200), geo.point(x0 + 100, y0))
+    scenes = described_scenes(q).withColumns({
+        "geom": F.array(F.array(ring)), "href": F.concat(F.lit("scenes/"), F.col("name"), F.lit(".tif")), "size": 100000 + x0.cast("long"), "epsg": F.lit(3857),
+        "height": F.lit(50), "width": F.lit(75), "left": F.lit(0.0), "bottom": F.lit(0.0), "right": F.lit(150.0), "top": F.lit(100.0),
+    })
+    get = lambda path: F.get_json_object("item", f"$.{path}")
+    size = lambda path: F.json_array_length(get(path)).cast("long")
+    number = lambda path: get(path).cast("double")
+    return cat.whole_items(scenes).select(
+        get("id").alias("id"), get("type").alias("type"), get("geometry.type").alias("geometry_type"), size("geometry.coordinates[0]").alias("corners"),
+        number("geometry.coordinates[0][0][0]").alias("first_x"), number("geometry.coordinates[0][0][1]").alias("first_y"),
+        (number("bbox[2]") - number("bbox[0]")).alias("wide"), (number("bbox[3]") - number("bbox[1]")).alias("tall"),
+        get("assets.visual['file:size']").cast("long").alias("size"), get("assets.visual.href").alias("href"), size("assets.visual['eo:bands']").alias("bands"),
+        get("properties['proj:epsg']").cast("int").alias("epsg"), get("properties['proj:shape'][0]").cast("int").alias("height"), get("properties['proj:shape'][1]").cast("int").alias("width"),
+        number("properties['proj:transform'][0]").alias("pixel"), size("links").alias("links"), get("properties.platform").alias("platform"),
+    )
