@@ -196,19 +196,22 @@ def model_variant(explicit: Column, model_name: Column) -> Column:
     )
 
 
+# Where a result summary holds its keyword and its number.
+KEYWORD_AFTER_FOR = r"(?i)\bfor\s+(.+)$"
+KEYWORD_BEFORE_UNIT = r"(?i)^Found\s+\d+\s+(.+?)\s+polygons/clusters"
+LEADING_NUMBER = r"(?i)^Found\s+(\d+)\b"
+
+
 def keyword_text(keywords: Column, summary: Column) -> Column:
-    """Joined keywords, else the text after "for", else the text before "polygons/clusters"."""
-    return F.coalesce(
-        F.when(F.size(keywords) > 0, F.array_join(keywords, ", ")),
-        group_or_null(summary, r"(?i)\bfor\s+(.+)$"),
-        group_or_null(summary, r"(?i)^Found\s+\d+\s+(.+?)\s+polygons/clusters"),
-    )
+    """Joined keywords, else the text that a summary names."""
+    joined = F.when(F.size(keywords) > 0, F.array_join(keywords, ", "))
+    return F.coalesce(joined, *[group_or_null(summary, pattern) for pattern in (KEYWORD_AFTER_FOR, KEYWORD_BEFORE_UNIT)])
 
 
 def tree_count(model_name: Column, feature_count: Column, summary: Column) -> Column:
     """Number of trees; only the box model counts trees."""
-    leading = group_or_null(summary, r"(?i)^Found\s+(\d+)\b").try_cast("bigint")
-    return F.when(model_name == "deepforest-tree", F.coalesce(feature_count.cast("bigint"), leading))
+    counted = group_or_null(summary, LEADING_NUMBER).try_cast("bigint")
+    return F.when(model_name == "deepforest-tree", F.coalesce(feature_count.cast("bigint"), counted))
 
 
 def failure_code(kind: Column) -> Column:
@@ -262,6 +265,7 @@ def platform(title: Column) -> Column:
     )
 
 
+# How scenes and their rasters are named.
 SCENE_NAME = r"^L2A_(T\w{5})_A(\d+)_(\d{8}T\d{6})$"
 COG_SUFFIX = "_rgb_3857_cog.tif"
 
