@@ -90,11 +90,14 @@ def clip_features(
     )
     near = boxed.filter(~outside).withColumn("_inside", inside).withColumn("_plain", geo.is_rectangle(F.col("geom")))
     sides = [s.cast("double") for s in (min_x, min_y, max_x, max_y)]
-    near = cut_to_box(near, "_parts", F.when(~F.col("_plain"), F.col("geom")), *sides)
     common = [F.greatest(F.col("_b.min_x"), sides[0]), F.greatest(F.col("_b.min_y"), sides[1]), F.least(F.col("_b.max_x"), sides[2]), F.least(F.col("_b.max_y"), sides[3])]
     easy = F.when(F.col("_inside"), F.col("geom")).otherwise(geo.box_geometry(*common))
-    cut = near.withColumn("_cut", F.when(F.col("_plain"), easy).otherwise(F.col("_parts.geom"))).filter(F.size("_cut") > 0)
-    before = F.coalesce(F.col("_parts.area"), geo.planar_area(F.col("geom")))
+    # Rectangles never meet Python.
+    plain = near.filter("_plain").withColumns({"_cut": easy, "_before": geo.planar_area(F.col("geom"))})
+    other = cut_to_box(near.filter("NOT _plain"), "_parts", F.col("geom"), *sides)
+    other = other.withColumns({"_cut": F.col("_parts.geom"), "_before": F.col("_parts.area")}).drop("_parts")
+    cut = plain.unionByName(other).filter(F.size("_cut") > 0)
+    before = F.col("_before")
     smaller = geo.planar_area(F.col("_cut")) < before * (1 - 1e-9)
     shrank = F.when(F.col("_inside"), F.lit(False)).otherwise(smaller)
     fresh = F.round(geo.geodesic_area(F.col("_cut")), digits)
