@@ -68,3 +68,13 @@ def test_error_text_is_whole_unless_a_limit_is_given(spark):
     events = spark.createDataFrame(rows, "query_id long, event_id long, status string, progress int, error_message string, ts long")
     assert len(apply_transitions(events).first().error_message) == 5000
     assert len(apply_transitions(events, 2000).first().error_message) == 2000
+
+
+def test_spent_tables_are_deleted(spark):
+    import os
+
+    from skytable.session import discard, materialize
+
+    kept, spent = materialize(spark.range(5)), materialize(spark.range(7))
+    discard(spent, spark.range(3))
+    assert kept.count() == 5 and not os.path.exists(spent._scratch_path.removeprefix("file:"))
