@@ -67,9 +67,14 @@ def attach_links(scenes: DataFrame, links: DataFrame, order: Sequence[str]) -> D
 
 
 def pair_granules(granules: DataFrame, rasters: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Granules with their converted raster, and granules without one."""
+    """Granules with their converted raster, and granules without one: each granule once.
+
+    Of several rasters of one tile and name the first by its other columns counts.
+    """
     keys = ["tile", "name"]
-    return granules.join(rasters, keys), granules.join(rasters.select(*keys), keys, "left_anti")
+    rest = [F.col(c) for c in rasters.columns if c not in keys]
+    single = first_by(rasters, keys, rest) if rest else rasters.distinct()
+    return granules.join(single, keys), granules.join(rasters.select(*keys), keys, "left_anti")
 
 
 def complete_granules(files: DataFrame, granules: DataFrame, min_bytes: int = MIN_ASSET_BYTES) -> DataFrame:

@@ -31,4 +31,4 @@ def current_items(spark: SparkSession, out: str) -> DataFrame:
     """The latest item per collection and id."""
     batches = spark.read.option("basePath", out).parquet(out).drop("batch")
     # Maps cannot be compared, but they may ride along with the winning row.
-    return first_by(batches, list(KEYS), [-F.col("batch_id"), F.col("loaded_at")]).drop("batch_id", "loaded_at")
+    return first_by(batches, list(KEYS), [-F.col("batch_id"), -F.unix_micros("loaded_at")]).drop("batch_id", "loaded_at")
