@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skytable.functions import geometry as geo
 from skytable.functions import projection
-from skytable.operators.skew import salted_join
+from skytable.operators.skew import salted_join, spread
 
 # Features of one block that are painted in one go; others of it are painted elsewhere and laid over it.
 PART_FEATURES = 1 << 16
@@ -159,7 +159,7 @@ def rasterize_blocks(features: DataFrame, grids: DataFrame, side: int = 64) -> D
         raise ValueError("the side must be a power of two")
     shapes = features.filter("geom IS NOT NULL AND value IS NOT NULL AND ord IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("ord").cast("long").alias("ord"), F.col("value").cast("long").alias("value"), "geom")
     known = grids.select(F.col("query_id").cast("long").alias("query_id"), "epsg", F.col("transform").cast("array<double>").alias("transform"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"))
-    placed = salted_join(shapes, known, ["query_id"], ["ord"])
+    placed = spread(salted_join(shapes, known, ["query_id"], ["ord"]), "query_id", "ord")
     pixels = to_pixels(project_to(F.col("geom"), F.col("epsg")), F.col("transform")).cast(geo.GEOMETRY)
     runs = placed.select("query_id", "ord", "value", "height", "width", pixels.alias("geom")).mapInArrow(_to_blocks(side), _SPANS)
     blocks = lambda n: F.sequence(F.lit(0), F.floor((F.col(n) - 1) / side).cast("int"))

@@ -78,3 +78,19 @@ def test_spent_tables_are_deleted(spark):
     kept, spent = materialize(spark.range(5)), materialize(spark.range(7))
     discard(spent, spark.range(3))
     assert kept.count() == 5 and not os.path.exists(spent._scratch_path.removeprefix("file:"))
+
+
+def test_costly_steps_do_not_wait_for_one_file(spark):
+    """One input partition is dealt over many tasks before clipping and burning."""
+    from pyspark.sql import functions as F
+
+    from skytable.functions import geometry as geo
+    from skytable.operators import burn
+    from skytable.operators import features as feat
+
+    places = spark.range(0, 100, 1, 1).select("id", geo.box_geometry(*[F.lit(v) for v in (0.0, 0.0, 1.0, 1.0)]).alias("geom"), F.lit(None).cast("double").alias("area_m2"))
+    assert feat.clip_features(places, *[F.lit(v) for v in (0.5, 0.5, 2.0, 2.0)]).rdd.getNumPartitions() >= 64
+    shapes = places.select(F.lit(1).alias("query_id"), F.col("id").alias("ord"), F.lit(1).alias("value"), "geom")
+    grids = spark.createDataFrame([(1, 4326, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], 4, 4)], "query_id int, epsg int, transform array<double>, height int, width int")
+    plan = burn.rasterize_blocks(shapes, grids, 4)._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan
