@@ -12,7 +12,7 @@ from skytable.functions import geometry as geo
 from skytable.functions import planar
 from skytable.functions import pixels as px
 from skytable.operators import components as comp
-from skytable.operators.skew import salted_join
+from skytable.operators.skew import salted_join, spread
 from skytable.session import materialize
 
 PROBE_PX = 1024
@@ -205,7 +205,7 @@ def cut_to_box(df: DataFrame, name: str, geom: Column, *box: Column) -> DataFram
         return pa.array(found, pa.struct([("geom", _ARROW), ("area", pa.float64())]))
 
     # Marked so that later filters and projections do not run it again.
-    cut = df.withColumn(name, F.arrow_udf(run, CUT).asNondeterministic()(_plain(geom), *box))
+    cut = spread(df).withColumn(name, F.arrow_udf(run, CUT).asNondeterministic()(_plain(geom), *box))
     return cut.withColumn(name, F.struct(_points(F.col(name)["geom"]).alias("geom"), F.col(name)["area"].alias("area")))
 
 
