@@ -10,6 +10,7 @@ from skytable.functions import geometry as geo
 from skytable.operators import components as comp
 from skytable.operators import footprints as foot
 from skytable.operators import splitting
+from skytable.operators.skew import spread
 from skytable.plans.registry import query
 from skytable.session import materialize
 
@@ -150,7 +151,7 @@ def geo14(q):
     k = F.col("o_orderkey")
     shift = (k % 1000).cast("double")
     geom = lambda i: F.array(F.array(F.array(*[geo.point(shift + float(x), F.lit(float(y))) for x, y in rings[i]])))
-    df = q.table("orders").select(k.alias("id"), F.when(k % 4 == 0, geom(0)).when(k % 4 == 1, geom(1)).when(k % 4 == 2, geom(2)).otherwise(geom(3)).alias("g"))
+    df = spread(q.table("orders"), "o_orderkey").select(k.alias("id"), F.when(k % 4 == 0, geom(0)).when(k % 4 == 1, geom(1)).when(k % 4 == 2, geom(2)).otherwise(geom(3)).alias("g"))
     fixed = df.select("id", foot.repair(F.col("g")).alias("g"))
     return fixed.select("id", F.when(F.col("g").isNotNull(), F.size("g")).alias("polygons"), F.round(geo.planar_area(F.col("g")), 6).alias("area"))
 
@@ -189,7 +190,7 @@ SELECT id, CASE WHEN crossing THEN 2 ELSE 1 END AS polygons,
 )
 def geo14_valid(q):
     """Rings through one place of each quadrant: going round, or crossing over like a bow tie, which gives two polygons."""
-    p = q.spark.sql(QUAD.replace("FROM orders", "FROM {orders}"), orders=q.table("orders"))
+    p = q.spark.sql(QUAD.replace("FROM orders", "FROM {orders}"), orders=spread(q.table("orders"), "o_orderkey"))
     a, b, c, d = [geo.point(F.col(x), F.col(y)) for x, y in (("ax", "ay"), ("bx", "b_y"), ("cx", "cy"), ("dx", "dy"))]
     ring = F.when(F.col("bow") == 0, F.array(a, b, c, d, a)).otherwise(F.array(a, c, b, d, a))
     fixed = p.select("id", foot.make_valid(F.array(F.array(ring)))["geom"].alias("g"))

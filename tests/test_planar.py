@@ -1,5 +1,7 @@
 """Overlay, validity and true clipping against counted pixels and sampled points."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +119,32 @@ def test_thinning_never_crosses():
                 for x, y in old:
                     t = np.clip((((x, y) - a) * (b - a)).sum(axis=1) / ((b - a) ** 2).sum(axis=1), 0, 1)
                     assert np.sqrt(((a + t[:, None] * (b - a) - (x, y)) ** 2).sum(axis=1)).min() <= tolerance + 1e-9
+
+
+def test_few_points_give_what_arrays_give(monkeypatch):
+    """Small geometries take a way of their own: it finds the same crossings and thins to the same rings."""
+    rng = random.Random(7)
+    seen = set()
+    for k in range(400):
+        n = rng.randrange(3, 9)
+        ring = [(float(rng.randrange(6)), float(rng.randrange(6))) for _ in range(n)]
+        hole = [(10.0 + rng.randrange(3), float(rng.randrange(3))) for _ in range(3)]
+        rings = [[*ring, ring[0]], [*hole, hole[0]]][: 1 + k % 2]
+        small = planar.is_simple(rings)
+        with monkeypatch.context() as m:
+            m.setattr(planar, "_FEW", 0)
+            assert small == planar.is_simple(rings), rings
+        seen.add(small)
+    assert seen == {True, False}
+    for k in range(40):
+        rings = [jagged(rng, 12 + k, 20.0, 5.0), jagged(rng, 6 + k % 20, 12.0, 4.0)]
+        small = planar.thinned(rings, 2.0)
+        with monkeypatch.context() as m:
+            m.setattr(planar, "_SMALL", 0)
+            arrays = planar.thinned(rings, 2.0)
+        assert [r.tolist() for r in small] == [r.tolist() for r in arrays]
+
+
+def jagged(rng, corners, reach, spread):
+    ring = [((reach + rng.random() * spread) * np.cos(a), (reach + rng.random() * spread) * np.sin(a)) for a in np.arange(corners) * 2 * np.pi / corners]
+    return np.array([*ring, ring[0]])
