@@ -11,7 +11,7 @@ from skytable.functions import geometry as geo
 from skytable.functions import rules
 from skytable.functions.text import non_blank, number, strip
 from skytable.operators.features import proj_props
-from skytable.operators.skew import first_by, prefix_scan, salted_join
+from skytable.operators.skew import first_by, prefix_scan, salted_join, spread
 
 MIN_ASSET_BYTES = 100_000
 PARTIAL_BELOW = 0.85
@@ -179,7 +179,7 @@ def whole_items(df: DataFrame) -> DataFrame:
     right and top in its system. The box is that of the footprint. Unknown properties are left out. Scenes without a footprint are no items.
     """
     proj = proj_props(*[F.col(c) for c in ("epsg", "height", "width", "left", "bottom", "right", "top")])
-    parts = df.filter("geom IS NOT NULL").withColumn("_p", proj).withColumn("_b", geo.bounds(F.col("geom")))
+    parts = spread(df.filter("geom IS NOT NULL"), "name").withColumn("_p", proj).withColumn("_b", geo.bounds(F.col("geom")))
     described = [F.col(f"_p.{c}").alias(f"proj:{c}") for c in ("epsg", "shape", "transform", "bbox")]
     bands = {name: (common, wavelength) for name, _, common, wavelength in BANDS}
     asset = F.struct(
