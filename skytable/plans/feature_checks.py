@@ -8,6 +8,7 @@ from skytable.functions import geometry as geo
 from skytable.functions.text import non_blank
 from skytable.operators import exports as ex
 from skytable.operators import features as feat
+from skytable.operators.skew import numbered
 from skytable.plans.geometry_checks import area_sql
 from skytable.plans.registry import query
 from skytable.session import scratch
@@ -153,13 +154,16 @@ def documents_of(q):
 
 @query("src3_read_features", "SELECT query_id % 100 AS query_id, count(*) AS features, count(*) FILTER (WHERE trim(p_class) = '') AS blank FROM fx_features GROUP BY 1")
 def src3(q):
-    """Whole documents, one array element per feature."""
+    """Whole documents of 5,000 features of a query at most, one array element per feature."""
     f = features(q).withColumn("props", F.map_concat("props", F.create_map(F.lit("qid"), F.col("query_id").cast("string"))))
     path = scratch(q.spark, "collections")
-    per = f.groupBy("query_id", F.floor(F.col("ord") / 5000).alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("ord", F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type")).alias("geometry"), F.col("props").alias("properties")).alias("f"))), lambda a, b: (a["ord"] - b["ord"]).cast("int")).alias("fs")
-    )
-    per.select(F.lit("FeatureCollection").alias("type"), F.col("fs.f").alias("features")).write.option("maxRecordsPerFile", 1).json(path)
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type")).alias("geometry"), F.col("props").alias("properties"))
+    # Rows come to the lists in order, so no list is sorted by a function of two elements.
+    keys = ["query_id", "part"]
+    placed = numbered(f.select("query_id", "ord", "props"), ["query_id"], ["ord"], "place")
+    sorted_ = placed.withColumn("part", F.floor((F.col("place") - 1) / 5000)).repartition(*keys).sortWithinPartitions(*keys, "ord")
+    per = sorted_.groupBy(*keys).agg(F.collect_list(feature).alias("features"))
+    per.select(F.lit("FeatureCollection").alias("type"), "features").write.option("maxRecordsPerFile", 1).json(path)
     return files.read_features(q.spark, path).groupBy(
         F.col("props")["qid"].cast("bigint").alias("query_id")
     ).agg(F.count(F.lit(1)).alias("features"), F.count_if(non_blank(F.col("props")["class"]).isNull()).alias("blank"))

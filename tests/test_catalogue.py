@@ -26,3 +26,30 @@ def test_of_one_batch_the_later_file_counts(spark, tmp_path):
     items.run_items(spark, str(source), str(tmp_path / "out"), str(tmp_path / "mark"))
     current = items.current_items(spark, str(tmp_path / "out")).collect()
     assert [(r["id"], r["properties"]["mark"]) for r in current] == [("i", "new")]
+
+
+def test_documents_grow_with_the_features_of_a_query(spark, monkeypatch):
+    """15,000 features of 100 queries are 100 documents, not one for each 5,000 numbers of ``ord``."""
+    from skytable.plans import all_queries, feature_checks
+
+    paths = []
+    read = feature_checks.files.read_features
+    monkeypatch.setattr(feature_checks.files, "read_features", lambda s, path: paths.append(path) or read(s, path))
+    got = all_queries.QUERIES["src3_read_features"](spark, "/root/testdata/sf0.01")
+    assert got.schema.names == ["query_id", "features", "blank"]
+    assert read(spark, paths[0]).select("path").distinct().count() == 100
+
+
+def test_items_are_built_in_many_tasks(spark):
+    from skytable.operators.catalog import whole_items
+    from skytable.plans import catalog_checks
+    from skytable.plans.registry import Inputs
+
+    scenes = catalog_checks.described_scenes(Inputs(spark, "/root/testdata/sf0.001"))
+    from pyspark.sql import functions as F
+
+    from skytable.functions import geometry as geo
+
+    extra = {c: F.lit(1) for c in ("epsg", "height", "width", "size")} | {c: F.lit(1.0) for c in ("left", "bottom", "right", "top")}
+    placed = scenes.withColumns(extra | {"href": F.lit("h"), "geom": geo.box_geometry(*[F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")])})
+    assert whole_items(placed.coalesce(1)).rdd.getNumPartitions() >= 64
