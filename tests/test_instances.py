@@ -166,6 +166,26 @@ def test_suppression_equals_the_greedy_loop(spark, threshold, cell_boxes):
     assert len(got) == got["det_id"].nunique()
 
 
+def crowded_boxes(n=1500):
+    rng = np.random.default_rng(11)
+    x, y, w, h = rng.integers(0, 460, n), rng.integers(0, 420, n), rng.integers(40, 60, n), rng.integers(66, 90, n)
+    return pd.DataFrame({
+        "det_id": np.arange(n), "image_id": 0, "cls": "a", "score": rng.permutation(n) / n,
+        "xmin": x * 1.0, "ymin": y * 1.0, "xmax": (x + w) * 1.0, "ymax": (y + h) * 1.0,
+    })
+
+
+def test_crowded_boxes_need_no_thinning(spark, monkeypatch):
+    """Cells are as large as the cores of boxes, so this crowd fills none of them."""
+    calls = []
+    thin = det._thin
+    monkeypatch.setattr(det, "_thin", lambda *args: calls.append(args) or thin(*args))
+    frame = crowded_boxes()
+    got = det.nms(spark.createDataFrame(frame)).toPandas()
+    assert not calls
+    assert set(got["det_id"]) == brute_nms(frame, 0.5)
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.25])
 def test_overlap_pairs_equal_brute_force(spark, threshold):
     frame = random_boxes(90, 8)
