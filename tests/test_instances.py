@@ -186,6 +186,11 @@ def test_crowded_boxes_need_no_thinning(spark, monkeypatch):
     assert set(got["det_id"]) == brute_nms(frame, 0.5)
 
 
+def test_cells_hold_few_pairs_that_do_not_overlap(spark):
+    sizes = det._registered(spark.createDataFrame(crowded_boxes()), 0.5).groupBy(*det.CELL).count()
+    assert sizes.selectExpr("sum(count * count)").first()[0] < 500_000
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.25])
 def test_overlap_pairs_equal_brute_force(spark, threshold):
     frame = random_boxes(90, 8)
