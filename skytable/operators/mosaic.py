@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skytable.functions import geometry as geo
-from skytable.operators.skew import numbered
+from skytable.operators.skew import numbered, ranges_of
 
 EDGE = 1e-9
 TILE_EDGE = 1e-11
@@ -27,9 +27,8 @@ def quadkey_assets(cover: DataFrame) -> DataFrame:
 
     The list stays in rows, so a tile with very many files needs no large array.
     """
-    return numbered(cover.select("quadkey", "pref", "path"), ["quadkey"], ["pref", "path"], "place").select(
-        "quadkey", "place", "path"
-    )
+    listed = cover.select("quadkey", "pref", "path")
+    return numbered(listed, ["quadkey"], ["pref", "path"], "place", ranges_of(listed)).select("quadkey", "place", "path")
 
 
 def mosaic_header(files: DataFrame, min_zoom: int = 8, max_zoom: int | None = None) -> DataFrame:

@@ -94,3 +94,12 @@ def test_costly_steps_do_not_wait_for_one_file(spark):
     grids = spark.createDataFrame([(1, 4326, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], 4, 4)], "query_id int, epsg int, transform array<double>, height int, width int")
     plan = burn.rasterize_blocks(shapes, grids, 4)._jdf.queryExecution().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(skew, "RANGE_ROWS", 10)
+    df = spark.range(300).select((F.col("id") % 2).alias("k"), F.col("id").alias("o"))
+    assert skew.ranges_of(df) == 30
+    out = skew.numbered(df, ["k"], ["o"], "n", skew.ranges_of(df))
+    assert out.rdd.getNumPartitions() == 30
+    assert {(r.k, r.o, r.n) for r in out.collect()} == {(o % 2, o, o // 2 + 1) for o in range(300)}
