@@ -31,8 +31,8 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # Words in the dictionary of each task, at most; about 16 bytes each.
 DICTIONARY_WORDS = 1 << 19
-# Words that a task counts before it hands them on.
-_HELD_WORDS = 150_000
+# Bytes of words, hashes and counts that a task holds before it hands them on.
+_HELD_BYTES = 8 << 20
 # Words above this length are folded by a heap, whose work does not grow with the square of the length.
 LONG_WORD = 48
 # Characters of text for each partition of distinct words.
@@ -136,18 +136,37 @@ def _word_spans(data: np.ndarray, offsets: np.ndarray, joined: np.ndarray) -> tu
     return data, starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets)
 
 
+def _cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words data[start:end] as an Arrow array."""
+    sizes = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    flat = data[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+
+def _counted(n: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([words.cast(pa.binary()).cast(pa.string()), pa.array(n)], names=["raw", "n"])
+
+
 def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(raw, n) of all distinct words, as they stand in the texts; only words and counts are shuffled."""
     joined = vocabulary.joined
 
     def scan(batches):
-        held: dict[int, list] = {}
+        # Words of some chunks as (hashes, counts, Arrow words), each chunk's distinct.
+        held: list[tuple] = []
+
+        def together():
+            hashes, n = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            values, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            counts = np.bincount(inverse, n).astype(np.int64)
+            words = pa.concat_arrays([h[2] for h in held]).take(pa.array(first))
+            return values, counts, words
 
-        def flush():
-            words, n = ([v[k] for v in held.values()] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["raw", "n"])
-            held.clear()
+        def room(words: tuple) -> int:
+            return sum(column.nbytes for column in words)
 
+        size = 0
         for batch in batches:
             for _, _, raw, offsets in units.text_chunks(batch.column(0)):
                 if not len(raw):
@@ -155,15 +174,16 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 data, starts, ends, _ = _word_spans(raw, offsets, joined)
                 hashes = units.word_hashes(data, starts, ends).view(np.int64)
                 values, first, n = np.unique(hashes, return_index=True, return_counts=True)
-                text = data.tobytes()
-                for h, a, b, k in zip(values.tolist(), starts[first].tolist(), ends[first].tolist(), n.tolist()):
-                    if (known := held.get(h)) is not None:
-                        known[1] += k
-                    else:
-                        held[h] = [text[a:b].decode(), k]
-            if len(held) > _HELD_WORDS:
-                yield from flush()
-        yield from flush()
+                held.append((values, n, _cut(data, starts[first], ends[first])))
+                size += room(held[-1])
+                if size > _HELD_BYTES:
+                    held = [together()]
+                    size = room(held[0])
+                    if size > _HELD_BYTES // 2:
+                        yield _counted(*held[0][1:])
+                        held, size = [], 0
+        if held:
+            yield _counted(*together()[1:])
 
     # Words were counted within tasks; partitions are small, because edges are grouped in memory.
     size = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
@@ -176,24 +196,34 @@ def _marked() -> Column:
     return F.translate("raw", " ", SPACE)
 
 
-def _hashed(batches):
-    """(hash, n, ids) of rows (raw, n, ids)."""
-    for batch in batches:
-        for lo, hi, data, offsets in units.text_chunks(batch.column(0)):
-            hashes = units.signed(units.word_hashes(data, offsets[:-1], offsets[1:]))
-            yield pa.RecordBatch.from_arrays([hashes, *[batch.column(k).slice(lo, hi - lo) for k in (1, 2)]], names=["hash", "n", "ids"])
-
-
 _KEY = 1 << 16
 # An edge of the merging kind is one number that sorts as merges are chosen: (rank of the score, start, end, id).
 _RANK_BITS, _PLACE_BITS, _ID_BITS = 20, 6, 24
+# Set beside the id of a piece that can stand beside another one with which it makes a piece of no worse score.
+_EARLIER = 1 << _ID_BITS - 1
+
+
+def _completes(ranks: dict[str, int]) -> set[str]:
+    """Pieces of which a longer one, with one more piece or character, comes no later in the order of merges."""
+    found = set()
+    for piece, rank in ranks.items():
+        for at in range(1, len(piece)):
+            left, right = piece[:at], piece[at:]
+            for part, rest in ((left, right), (right, left)):
+                if ranks.get(part, -1) >= rank and (len(rest) == 1 or rest in ranks):
+                    found.add(part)
+    return found
 
 
 def _spans(words: DataFrame, shortest: int, longest: int) -> DataFrame:
-    """Words exploded to their substrings of ``shortest`` to ``longest`` characters, from ``s`` on and ``l`` long; ``l = 0`` once a word."""
-    starts = F.explode(F.sequence(F.lit(1), F.col("length")))
+    """Words up to ``LONG_WORD`` exploded to their substrings of ``shortest`` to ``longest`` characters, from ``s`` on and ``l`` long.
+
+    Each word, also a longer one, gives one row with ``l = 0`` besides.
+    """
+    fits = F.col("length") <= LONG_WORD
+    starts = F.explode(F.sequence(F.lit(1), F.when(fits, F.col("length")).otherwise(1)))
     lengths = F.when(
-        F.col("length") - F.col("s") + 1 >= shortest, F.sequence(F.lit(shortest), F.least(F.lit(longest), F.col("length") - F.col("s") + 1))
+        fits & (F.col("length") - F.col("s") + 1 >= shortest), F.sequence(F.lit(shortest), F.least(F.lit(longest), F.col("length") - F.col("s") + 1))
     )
     lengths = F.explode(F.when(F.col("s") == 1, F.concat(F.array(F.lit(0)), F.coalesce(lengths, F.array().cast("array<int>")))).otherwise(lengths))
     cut = words.select("raw", "n", _marked().alias("word"), F.length("raw").alias("length")).select("*", starts.alias("s")).select("*", lengths.alias("l"))
@@ -201,32 +231,39 @@ def _spans(words: DataFrame, shortest: int, longest: int) -> DataFrame:
 
 
 def merge_lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(raw, n, word, edges) of words up to ``LONG_WORD``: the pieces of two characters and more, as sorted numbers."""
+    """(raw, n, word, edges) of words: the pieces of two characters and more, sorted as merges are chosen; none beyond ``LONG_WORD``.
+
+    ``code`` is the number of an edge, ``ends`` and ``inner`` have bits for the borders that it needs and those between them.
+    """
     ranks = {score: rank for rank, score in enumerate(sorted({s for _, _, s in vocabulary.rows}, reverse=True))}
-    if len(ranks) > 1 << _RANK_BITS or len(vocabulary.pieces) > 1 << _ID_BITS:
+    if len(ranks) > 1 << _RANK_BITS or len(vocabulary.pieces) > _EARLIER:
         raise ValueError("the piece table is too large for the numbers of edges")
-    rows = [(p, (ranks[s] << 2 * _PLACE_BITS + _ID_BITS) + i) for p, i, s in vocabulary.rows if len(p) > 1]
+    completes = _completes({p: ranks[s] for p, _, s in vocabulary.rows if len(p) > 1})
+    rows = [(p, (ranks[s] << 2 * _PLACE_BITS + _ID_BITS) + (_EARLIER if p in completes else 0) + i) for p, i, s in vocabulary.rows if len(p) > 1]
     pieces = words.sparkSession.createDataFrame(rows, "piece string, code long")  # bounded by the vocabulary file
     place = F.col("s") - 1
     code = F.col("code") + F.shiftleft((place * (1 << _PLACE_BITS) + place + F.col("l")).cast("long"), _ID_BITS)
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
+    ends, inner = bit(place) + bit(place + F.col("l")), bit(place + F.col("l")) - bit(place + 1)
+    edge = F.when(F.col("code").isNotNull(), F.struct(code.alias("code"), ends.alias("ends"), inner.alias("inner")))
     joined = _spans(words, 2, vocabulary.longest).join(F.broadcast(pieces), "piece", "left").filter("code IS NOT NULL OR l = 0")
     # Words are already dealt, so grouping their edges again needs no shuffle.
-    return joined.groupBy("raw", "n").agg(F.sort_array(F.collect_list(code)).alias("edges")).withColumn("word", _marked())
+    return joined.groupBy("raw", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("word", _marked())
 
 
 def viterbi_lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(raw, n, length, edges) of words up to ``LONG_WORD``: start and end are mapped to (score, id).
+    """(raw, n, length, edges) of words: start and end are mapped to (score, id); none beyond ``LONG_WORD``.
 
     Every single character has an edge; without a piece its id is minus one minus its code point.
     """
     pieces = vocabulary.frame(words.sparkSession)  # bounded by the vocabulary file
-    edge = F.struct(
+    edge = F.when(F.col("l") > 0, F.struct(
         ((F.col("s") - 1) * _KEY + F.col("s") + F.col("l") - 1).cast("int").alias("at"),
         F.struct(
             F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"), F.coalesce("id", -1 - F.ascii("piece")).alias("id")
         ).alias("edge"),
-    )
-    joined = _spans(words, 1, vocabulary.longest).filter("l > 0").join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR l = 1")
+    ))
+    joined = _spans(words, 1, vocabulary.longest).join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR l < 2")
     return joined.groupBy("raw", "n", "length").agg(F.map_from_entries(F.collect_list(edge)).alias("edges"))
 
 
@@ -243,45 +280,58 @@ def merge_fold() -> Column:
     """Pieces by merges: of neighbours that form a piece, those of the best score first, the leftmost of equals.
 
     The borders between pieces are the bits of one number. An edge can be merged if its ends are borders
-    and one border lies between them; the first such edge in sorted order is the next merge. Characters
-    that are left alone give minus one minus their code point.
+    and one border lies between them; the first such edge in sorted order is the next merge. One pass over
+    the sorted edges finds all merges, unless a merge lets an edge before it be merged, which then comes next:
+    that can only be after a piece marked ``_EARLIER``. Words where it happens are merged step by step.
+    Characters that are left alone give minus one minus their code point.
     """
-    one = F.lit(1).cast("long")
-    places = (1 << _PLACE_BITS) - 1
-    start = lambda e: F.shiftright(e, _PLACE_BITS + _ID_BITS).bitwiseAND(places).cast("int")
-    end = lambda e: F.shiftright(e, _ID_BITS).bitwiseAND(places).cast("int")
-    bit = lambda at: F.call_function("shiftleft", one, at)
-    # (ends, inner): the borders that an edge needs, and those between them.
-    masks = F.transform(
-        "edges", lambda e: F.struct((bit(start(e)) + bit(end(e))).alias("ends"), (bit(end(e)) - bit(start(e) + 1)).alias("inner"))
-    )
-    nothing = F.lit(0).cast("long")
-
-    def step(state: Column, _: Column) -> Column:
-        # Borders only vanish, so an edge that lost an end, or has none between its ends, is out for good.
-        def after(borders: Column) -> Column:
-            held = lambda m: (borders.bitwiseAND(m["ends"]) == m["ends"]) & (borders.bitwiseAND(m["inner"]) != nothing)
-            return F.struct(borders.alias("borders"), F.filter(state["left"], held).alias("left"))
-
-        fits = lambda m: F.bit_count(state["borders"].bitwiseAND(m["inner"])) == 1
-        merged = _bind(
-            F.get(F.filter(state["left"], fits), 0)["inner"],
-            lambda inner: F.when(inner.isNull(), F.struct(state["borders"].alias("borders"), F.slice(state["left"], 1, 0).alias("left"))).otherwise(
-                _bind(state["borders"].bitwiseAND(F.bitwise_not(inner)), after)
-            ),
-        )
-        return F.when(F.size(state["left"]) == 0, state).otherwise(merged)
+    nothing, low, edges = F.lit(0).cast("long"), (1 << 32) - 1, F.col("edges")
+    start = lambda e: F.shiftright(e["code"], _PLACE_BITS + _ID_BITS).bitwiseAND((1 << _PLACE_BITS) - 1)
+    first = F.call_function("shiftleft", F.lit(1).cast("long"), F.length("word") + 1) - 1
+    stands = lambda borders, e: borders.bitwiseAND(e["ends"]) == e["ends"]
+    fits = lambda borders, e: (F.bit_count(borders.bitwiseAND(e["inner"])) == 1) & stands(borders, e)
+    without = lambda borders, e: borders.bitwiseAND(F.bitwise_not(e["inner"]))
+
+    def in_order() -> Column:
+        """The borders that are left, below zero if an edge would have had to be merged before one that was."""
+
+        def step(borders: Column, e: Column) -> Column:
+            def merged(after: Column) -> Column:
+                again = F.exists(edges, lambda o: (o["code"] < e["code"]) & fits(after, o))
+                return F.when((e["code"].bitwiseAND(_EARLIER) != nothing) & again, after.bitwiseOR(F.lit(-(2**63)))).otherwise(after)
+
+            return F.when(fits(borders, e), _bind(without(borders, e), merged)).otherwise(borders)
+
+        return F.aggregate(edges, first, step)
+
+    def by_steps() -> Column:
+        def step(state: Column, _: Column) -> Column:
+            # Borders only vanish, so an edge that lost an end, or has none between its ends, is out for good.
+            def after(borders: Column) -> Column:
+                held = lambda e: stands(borders, e) & (borders.bitwiseAND(e["inner"]) != nothing)
+                return F.struct(borders.alias("borders"), F.filter(state["left"], held).alias("left"))
+
+            merged = _bind(
+                F.get(F.filter(state["left"], lambda e: fits(state["borders"], e)), 0),
+                lambda e: F.when(e.isNull(), F.struct(state["borders"].alias("borders"), F.slice(state["left"], 1, 0).alias("left"))).otherwise(
+                    _bind(without(state["borders"], e), after)
+                ),
+            )
+            return F.when(F.size(state["left"]) == 0, state).otherwise(merged)
 
-    first = F.struct((bit(F.length("word") + 1) - 1).alias("borders"), masks.alias("left"))
-    borders = F.aggregate(F.sequence(F.lit(1), F.length("word")), first, step, lambda state: state["borders"])
+        state = F.struct(first.alias("borders"), edges.alias("left"))
+        return F.aggregate(F.sequence(F.lit(1), F.length("word")), state, step, lambda state: state["borders"])
 
     def ids(borders: Column) -> Column:
-        # A piece is an edge whose ends are borders with none between; other places are single characters.
-        whole = F.filter("edges", lambda e: (borders.bitwiseAND(bit(start(e)) + bit(end(e))) == bit(start(e)) + bit(end(e))) & (borders.bitwiseAND(bit(end(e)) - bit(start(e) + 1)) == 0))
-        found = F.map_from_entries(F.transform(whole, lambda e: F.struct(start(e).alias("at"), e.bitwiseAND((1 << _ID_BITS) - 1).cast("int").alias("id"))))
-        starts = F.filter(F.sequence(F.lit(0), F.length("word") - 1), lambda at: borders.bitwiseAND(bit(at)) != 0)
-        return _bind(found, lambda known: F.transform(starts, lambda at: F.coalesce(F.try_element_at(known, at), -1 - F.ascii(F.substring("word", at + 1, F.lit(1))))))
-
+        # A piece is an edge whose ends are borders with none between; other places are single characters. Both go by their start.
+        at_start = lambda at, value: F.shiftleft(at.cast("long"), 32) + value + (1 << 31)
+        whole = F.filter(edges, lambda e: (borders.bitwiseAND(e["inner"]) == nothing) & stands(borders, e))
+        pieces = F.transform(whole, lambda e: at_start(start(e), e["code"].bitwiseAND(_EARLIER - 1)))
+        alone = F.filter(F.sequence(F.lit(0), F.length("word") - 1), lambda at: F.call_function("shiftright", borders, at).bitwiseAND(3) == 3)
+        singles = F.transform(alone, lambda at: at_start(at, -1 - F.ascii(F.substring("word", at + 1, F.lit(1)))))
+        return F.transform(F.sort_array(F.concat(pieces, singles)), lambda x: (x.bitwiseAND(low) - (1 << 31)).cast("int"))
+
+    borders = _bind(in_order(), lambda quick: F.when(quick >= 0, quick).otherwise(by_steps()))
     return _bind(borders, ids)
 
 
@@ -365,28 +415,32 @@ def encoded_words(docs: DataFrame, vocabulary: Vocabulary, fold: str | None = No
     kind = fold or vocabulary.kind
     words = word_counts(docs, vocabulary)
     lattice, ids = (viterbi_lattice, viterbi_fold(vocabulary.longest)) if kind == "unigram" else (merge_lattice, merge_fold())
-    short = lattice(words.filter(F.length("raw") <= LONG_WORD), vocabulary)
     table = {p: (s, i) for p, i, s in vocabulary.rows}
     shared = docs.sparkSession.sparkContext.broadcast((table, vocabulary.longest, vocabulary.unknown_score, kind))
 
-    def long_fold(batches):
-        encode = _long_words(*shared.value)
-        def folded():
-            for batch in batches:
-                ids = pa.array([encode(w.replace(" ", SPACE)) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=["raw", "n", "ids"])
-
-        yield from _hashed(folded())
-
-    long = words.filter(F.length("raw") > LONG_WORD).select("raw", "n").mapInArrow(long_fold, "hash long, n long, ids array<int>")
+    def hashed(batches):
+        """(hash, n, ids) of rows (raw, n, ids); words without ids are the long ones."""
+        encode = None
+        for batch in batches:
+            raw, n, found = batch.columns
+            if found.null_count:
+                encode = encode or _long_words(*shared.value)
+                long = [encode(w.replace(" ", SPACE)) for w in raw.filter(found.is_null()).to_pylist()]
+                # Behind the others, they are taken in the places of the nulls.
+                at = np.arange(len(found))
+                at[found.is_null().to_numpy(zero_copy_only=False)] = len(found) + np.arange(len(long))
+                found = pa.concat_arrays([found, pa.array(long, found.type)]).take(pa.array(at))
+            for lo, hi, data, offsets in units.text_chunks(raw):
+                hashes = units.signed(units.word_hashes(data, offsets[:-1], offsets[1:]))
+                yield pa.RecordBatch.from_arrays([hashes, n.slice(lo, hi - lo), found.slice(lo, hi - lo)], names=["hash", "n", "ids"])
+
+    short = F.when(F.length("raw") <= LONG_WORD, ids)
     conf, name = docs.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = conf.get(name)
     try:
         # Edges of one partition's words fit in memory by PARTITION_CHARS; else they are sorted and spilled.
         conf.set(name, str(PARTITION_CHARS))
-        # One Python worker for each task: either branch hashes its own words.
-        folded = short.select("raw", "n", ids.alias("ids")).mapInArrow(_hashed, "hash long, n long, ids array<int>")
-        return materialize(folded.unionByName(long))
+        return materialize(lattice(words, vocabulary).select("raw", "n", short.alias("ids")).mapInArrow(hashed, "hash long, n long, ids array<int>"))
     finally:
         conf.set(name, before)
 

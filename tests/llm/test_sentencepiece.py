@@ -53,3 +53,21 @@ def test_kinds_and_empty_table(spark):
     vocabulary = codec.Vocabulary()
     found = codec.encode(frame(spark, []), vocabulary)
     assert found.count() == 0 and codec.decode(found, vocabulary).count() == 0
+
+
+def test_texts_are_scanned_once_for_words(spark, monkeypatch):
+    """Short and long words come from one scan; each of them used to scan all texts."""
+    plans, write = [], codec.materialize
+    monkeypatch.setattr(codec, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    words = codec.encoded_words(frame(spark, ["a bc", "x" * 60, "a"]), codec.Vocabulary()).collect()
+    assert len(words) == 3 and all(r.ids for r in words)
+    assert plans[0].count("MapInArrow scan(") == 1
+
+
+def test_merges_that_let_an_earlier_one_follow(spark):
+    """Words of pieces after which a piece of better score can be merged."""
+    vocabulary = codec.Vocabulary()
+    ranks = {p: -s for p, _, s in vocabulary.rows if len(p) > 1}
+    late = sorted(p for p in codec._completes(ranks) if p.isascii() and p.isalpha())
+    rng = random.Random(5)
+    check(spark, [" ".join("".join(rng.choice(late) for _ in range(rng.randrange(1, 5))) for _ in range(20)) for _ in range(60)], RAW)
