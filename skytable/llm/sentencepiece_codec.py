@@ -16,6 +16,7 @@ size that every task holds; the others come by a join to their documents, whose
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,10 @@ DICTIONARY_WORDS = 1 << 19
 _HELD_BYTES = 8 << 20
 # Words above this length are folded by a heap, whose work does not grow with the square of the length.
 LONG_WORD = 48
-# Characters of text for each partition of distinct words.
-PARTITION_CHARS = 2_000_000
+# Characters of text for each partition of distinct words: least and most.
+LEAST_CHARS, PARTITION_CHARS = 250_000, 2_000_000
+# Bytes of text that a task cuts into words at once.
+_CHUNK_BYTES = 1 << 18
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -148,6 +151,15 @@ def _counted(n: np.ndarray, words: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([words.cast(pa.binary()).cast(pa.string()), pa.array(n)], names=["raw", "n"])
 
 
+def _partitions(size: int) -> int:
+    """Partitions for the distinct words of ``size`` characters.
+
+    Words grow about as the square root of the text, and those of one partition are held with their edges. However few of the
+    words are equal, a partition has no more than those of ``PARTITION_CHARS``.
+    """
+    return max(1, -(-size // min(PARTITION_CHARS, max(LEAST_CHARS, 50 * math.isqrt(size)))))
+
+
 def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(raw, n) of all distinct words, as they stand in the texts; only words and counts are shuffled."""
     joined = vocabulary.joined
@@ -168,7 +180,7 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
         size = 0
         for batch in batches:
-            for _, _, raw, offsets in units.text_chunks(batch.column(0)):
+            for _, _, raw, offsets in units.text_chunks(batch.column(0), _CHUNK_BYTES):
                 if not len(raw):
                     continue
                 data, starts, ends, _ = _word_spans(raw, offsets, joined)
@@ -187,7 +199,7 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     # Words were counted within tasks; partitions are small, because edges are grouped in memory.
     size = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    found = docs.select("text").mapInArrow(scan, "raw string, n long").repartition(max(1, -(-size // PARTITION_CHARS)), "raw")
+    found = docs.select("text").mapInArrow(scan, "raw string, n long").repartition(_partitions(size), "raw")
     return found.groupBy("raw").agg(F.sum("n").alias("n"))
 
 
@@ -493,16 +505,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, fold: str | None = None) ->
     shared = spark.sparkContext.broadcast(_pack(frequent.toArrow(), vocabulary))
     rare = words.filter(F.col("n") < F.lit(1 << least).cast("long")).select("hash", "ids")
 
+    # Once for each worker, not with each task.
+    joined, pieces = vocabulary.joined, spark.sparkContext.broadcast(vocabulary)
+
     def find(hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
         return at, (known[at] == hashes) if len(known) else np.zeros(len(hashes), bool)
 
     def missing(batches):
         for batch in batches:
-            for lo, _, raw, offsets in units.text_chunks(batch.column(1)):
+            for lo, _, raw, offsets in units.text_chunks(batch.column(1), _CHUNK_BYTES):
                 if not len(raw):
                     continue
-                data, starts, ends, firsts = _word_spans(raw, offsets, vocabulary.joined)
+                data, starts, ends, firsts = _word_spans(raw, offsets, joined)
                 hashes = units.word_hashes(data, starts, ends).view(np.int64)
                 values, inverse = np.unique(hashes, return_inverse=True)
                 lost = np.flatnonzero(~find(values, shared.value[0])[1][inverse])
@@ -537,11 +552,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, fold: str | None = None) ->
         ends = ends.astype(np.int64)
         for batch in batches:
             for first, texts in unpack(batch.column(1)):
-                for lo, hi, raw, offsets in units.text_chunks(texts):
+                for lo, hi, raw, offsets in units.text_chunks(texts, _CHUNK_BYTES):
                     counts = np.zeros(hi - lo, np.int64)
                     out = np.zeros(0, np.int32)
                     if len(raw):
-                        data, starts, stops, firsts = _word_spans(raw, offsets, vocabulary.joined)
+                        data, starts, stops, firsts = _word_spans(raw, offsets, joined)
                         hashes = units.word_hashes(data, starts, stops).view(np.int64)
                         values, inverse = np.unique(hashes, return_inverse=True)
                         at, hit = find(values, known)
@@ -551,7 +566,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, fold: str | None = None) ->
                         if not hit.all():
                             extra = batch.column(2).slice(first + lo, hi - lo).flatten()
                             own = pa.table({"hash": extra.field("hash"), "ids": extra.field("ids")})
-                            own_known, own_ends, own_flat = _pack(own, vocabulary)
+                            own_known, own_ends, own_flat = _pack(own, pieces.value)
                             own_at, found = find(values[~hit], own_known)
                             if not found.all():
                                 raise ValueError("a word of a text is not among the encoded words")

@@ -71,3 +71,9 @@ def test_merges_that_let_an_earlier_one_follow(spark):
     late = sorted(p for p in codec._completes(ranks) if p.isascii() and p.isalpha())
     rng = random.Random(5)
     check(spark, [" ".join("".join(rng.choice(late) for _ in range(rng.randrange(1, 5))) for _ in range(20)) for _ in range(60)], RAW)
+
+
+def test_partitions_of_words():
+    """A small text is not one partition with all its edges, and none has the words of more than PARTITION_CHARS."""
+    assert codec._partitions(0) == 1 and codec._partitions(1_900_000) == 8
+    assert all(n / codec._partitions(n) <= codec.PARTITION_CHARS for n in (10**7, 10**9, 3 * 10**10))
