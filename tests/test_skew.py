@@ -80,6 +80,26 @@ def test_spent_tables_are_deleted(spark):
     assert kept.count() == 5 and not os.path.exists(spent._scratch_path.removeprefix("file:"))
 
 
+def test_spent_shuffles_are_deleted(spark):
+    import time
+
+    from skytable.session import materialize
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {name for name in (str(x) for x in blocks.getAllBlocks().mkString(" ").split(" ")) if name.startswith("shuffle_")}
+
+    before = shuffles()
+    table = materialize(spark.range(20_000).repartition(3, "id").withColumn("x", F.sha2(F.col("id").cast("string"), 256)))
+    end = time.time() + 10
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert table.count() == 20_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_costly_steps_do_not_wait_for_one_file(spark):
     """One input partition is dealt over many tasks before clipping and burning."""
     from pyspark.sql import functions as F
