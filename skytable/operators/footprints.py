@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skytable.functions import geometry as geo
 from skytable.functions import planar
 from skytable.functions import pixels as px
+from skytable.functions import planar_batch
 from skytable.operators import components as comp
 from skytable.operators.skew import salted_join, spread
 from skytable.session import materialize
@@ -151,7 +152,7 @@ def repair(geom: Column) -> Column:
     return _points(run(_plain(geom)))
 
 
-VALID = f"struct<geom:{PLAIN},reason:string>"
+VALID = f"struct<geom:{geo.GEOMETRY},reason:string>"
 
 
 def _rings(polygons) -> list:
@@ -174,11 +175,9 @@ def make_valid(geom: Column) -> Column:
     """
 
     def run(values: pa.Array) -> pa.Array:
-        found = [(None, "no geometry") if g is None else _valid(g) for g in values.to_pylist()]
-        return pa.array([{"geom": g, "reason": why} for g, why in found], pa.struct([("geom", _ARROW), ("reason", pa.string())]))
+        return planar_batch.valid(values, _valid)
 
-    run = F.arrow_udf(run, VALID)
-    return geo.let(run(_plain(geom)), lambda v: F.struct(_points(v["geom"]).alias("geom"), v["reason"].alias("reason")))
+    return F.arrow_udf(run, VALID)(geom.cast(geo.GEOMETRY))
 
 
 CUT = f"struct<geom:{PLAIN},area:double>"
