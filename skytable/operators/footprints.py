@@ -60,11 +60,10 @@ def simplify_polygons(polygons: list, tolerance: float, limit: int = MAX_VERTICE
 def simplify_bounded(geom: Column, tolerance: float = SIMPLIFY_PX, limit: int = MAX_VERTICES) -> Column:
     """Geometry with a bounded number of vertices; one geometry is one row of a probe of bounded size."""
 
-    @F.pandas_udf(PLAIN)
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda g: simplify_polygons(g, tolerance, limit))
+    def run(values: pa.Array) -> pa.Array:
+        return planar_batch.simplify(values, tolerance, limit, DOUBLINGS, lambda g: simplify_polygons(g, tolerance, limit))
 
-    return _points(run(_plain(geom)))
+    return F.arrow_udf(run, geo.GEOMETRY)(geom.cast(geo.GEOMETRY))
 
 
 def _simple_rings(ring: list) -> list:
