@@ -206,6 +206,26 @@ def test_overlap_pairs_equal_brute_force(spark, threshold):
     assert len(got) == len(want)
 
 
+@pytest.mark.parametrize("limits", [{"TILE_BOXES": 40}, {"CHUNK_ROWS": 50, "CHUNK_PAIRS": 7}, {"TILE_CELLS": 1}])
+def test_pairs_do_not_depend_on_tiles_and_chunks(spark, monkeypatch, limits):
+    """Tiles that are too full go to cells; tiles may come in pieces and pairs in small parts."""
+    frame = crowded_boxes(400).assign(image_id=lambda f: f.det_id % 2)
+    wide = random_boxes(60, 3).assign(det_id=lambda f: f.det_id + 1000)
+    boxes = spark.createDataFrame(pd.concat([frame, wide], ignore_index=True)[frame.columns.tolist()].astype({"image_id": str}))
+    want = det.box_iou_pairs(boxes, 0.3).toPandas()
+    for name, value in limits.items():
+        monkeypatch.setattr(det, name, value)
+    got = det.box_iou_pairs(boxes, 0.3).toPandas()
+    order = ["id_a", "id_b", "n_a", "n_b", "iou"]
+    assert len(want) > 500 and got.sort_values(order, ignore_index=True).equals(want.sort_values(order, ignore_index=True))
+
+
+def test_boxes_travel_to_tiles_and_not_to_every_cell(spark):
+    boxes = spark.createDataFrame(crowded_boxes())
+    tiles, cells = det._tiled(boxes, 0.5).count(), det._registered(boxes, 0.5).count()
+    assert tiles <= 2.2 * 1500 and 1.5 * tiles < cells, (tiles, cells)
+
+
 def test_simplify_bounds_the_vertices_and_stays_near():
     t = np.linspace(0, 2 * np.pi, 400)
     ring = [[100 * np.cos(a), 100 * np.sin(a)] for a in t[:-1]]
