@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from skytable.functions import geometry as geo
 from skytable.functions import projection as proj
+from skytable.functions.planar_batch import packed
 from skytable.operators import burn
 from skytable.operators import raster as ras
 
@@ -85,3 +87,38 @@ def test_each_raster_has_its_system(spark):
         burn.rasterize_blocks(features, wrong).collect()
     with pytest.raises(ValueError):
         burn.rasterize_blocks(features, grids, 10)
+
+
+def test_features_are_burned_in_batches():
+    """Runs of many features come in one batch, equal to those of each feature alone."""
+    rng = random.Random(5)
+    geoms = [[shape(rng)] for _ in range(200)] + [None, [], [[]]]
+    n = len(geoms)
+    columns = [pa.array([k % 3 for k in range(n)], pa.int64()), pa.array(range(n), pa.int64()), pa.array([k * 7 for k in range(n)], pa.int64()), *[pa.array([v] * n, pa.int32()) for v in (23, 29)], packed(geoms)]
+    names = ["query_id", "ord", "value", "height", "width", "geom"]
+    run = burn._to_blocks(8)
+    whole = list(run(iter([pa.RecordBatch.from_arrays(columns, names=names)])))
+    assert len(whole) == 1
+    alone = [b for k in range(n) for b in run(iter([pa.RecordBatch.from_arrays([c.slice(k, 1) for c in columns], names=names)]))]
+    assert len(alone) > 100 and [r for b in alone for r in b.to_pylist()] == whole[0].to_pylist()
+
+
+@pytest.mark.parametrize("some", [1, 200, 1 << 19])
+def test_blocks_go_on_over_batches(monkeypatch, some):
+    monkeypatch.setattr(burn, "SOME_CELLS", some)
+    rng, rows = random.Random(6), []
+    for key in [(None, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 1), (0, 0, 1, 0), (4, 2, 0, 0)]:
+        for order in range(rng.choice([1, 5, 40])):
+            spans = [(r << 4) | (min(a, b) << 2) | max(a, b) for r, a, b in ([rng.randrange(4) for _ in range(3)] for _ in range(rng.randrange(4)))]
+            rows.append((*key, order, rng.randrange(1, 9), spans))
+    want = {}
+    for *key, _, value, spans in rows:
+        block = want.setdefault(tuple(key), [0] * 16)
+        for span in spans:
+            for c in range((span >> 2) & 3, (span & 3) + 1):
+                block[(span >> 4) * 4 + c] = value
+    names = [c.split()[0] for c in burn._SPANS.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    got = [r for b in burn._folded(iter(table.to_batches(max_chunksize=3)), names[:4], 4, burn._paint(4), True) for r in b.to_pylist()]
+    assert [(tuple(r[k] for k in names[:4]), r["values"]) for r in got] == list(want.items())
